@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, suffix
+from . import language, quality, simhash, suffix
 from .blocks import table
 
 
@@ -16,13 +16,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_language_id": op2_language_id,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 #: None of these can be expressed in SQL on whole tables but those listed here.
 ORACLE_SQL: dict[str, str] = {}
