@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, simhash, suffix
+from . import bpe, counting, language, packing, quality, simhash, suffix
 from .blocks import table
 
 
@@ -20,6 +20,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -28,11 +36,18 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_token_counts": op10_token_counts,
 }
 #: None of these can be expressed in SQL on whole tables but those listed here.
 ORACLE_SQL: dict[str, str] = {}
