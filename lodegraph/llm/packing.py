@@ -177,22 +177,30 @@ def best_fit(count: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]
 
 
 def make_plan(count: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) of the patterns that hold each piece of the histogram once."""
-    left, plan = count.astype(np.int64).copy(), []
-    plan += [((limit,), int(left[limit]))] if left[limit] else []
-    left[limit] = 0
-    rows = enumerate_patterns(left, limit)
-    x = np.floor(fit(rows, left) + 0.5).astype(np.int64)
-    for i in np.argsort(-x, kind="stable"):
-        if x[i] == 0:
-            break
-        own = rows[i][rows[i] > 0]
-        lengths, times = np.unique(own, return_counts=True)
-        n = int(min(x[i], (left[lengths] // times).min()))
-        if n > 0:
-            left[lengths] -= n * times
-            plan.append((tuple(int(k) for k in own), n))
-    return plan + best_fit(left, limit)
+    """(lengths, repeats) of the patterns that hold each piece of the histogram once.  The fit
+    is rounded to the nearest whole and down, in full and in halves; the plan with the
+    fewest sequences stays."""
+    count = count.astype(np.int64)
+    full = [((limit,), int(count[limit]))] if count[limit] else []
+    rest = count.copy()
+    rest[limit] = 0
+    rows = enumerate_patterns(rest, limit)
+    x = fit(rows, rest)
+    plans = []
+    for share, shift in ((1, 0.5), (1, 0), (0.5, 0), (0.1, 0)):
+        left, plan = rest.copy(), []
+        repeats = np.floor(x * share + shift).astype(np.int64)
+        for i in np.argsort(-repeats, kind="stable"):
+            if repeats[i] == 0:
+                break
+            own = rows[i][rows[i] > 0]
+            lengths, times = np.unique(own, return_counts=True)
+            n = int(min(repeats[i], (left[lengths] // times).min()))
+            if n > 0:
+                left[lengths] -= n * times
+                plan.append((tuple(int(k) for k in own), n))
+        plans.append(plan + best_fit(left, limit))
+    return full + min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
