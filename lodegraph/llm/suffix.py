@@ -29,7 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
 from .blocks import Rolling, durable, mix, packed, utf8
 
@@ -469,3 +469,9 @@ def digest(cut: DataFrame) -> DataFrame:
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+@F.arrow_udf(StringType())
+def readable(kept: pa.Array) -> pa.Array:
+    """Kept bytes as text, without the bytes of characters that a cut left incomplete."""
+    return pa.array([None if x is None else x.decode(errors="ignore") for x in kept.to_pylist()], pa.string())
