@@ -31,8 +31,8 @@ from .blocks import LOWER, Rolling, counted, durable, found, mix, packed, text_b
 
 FILTER_BITS = 1 << 30
 WORDS = 1 << 23
-ITEM_BITS = 12
-PROBES = 6
+ITEM_BITS = 10
+PROBES = 5
 MU = 64.0
 HELD = 1_000_000
 U = np.uint64
@@ -188,7 +188,7 @@ class Slice:
     def count(self, h: np.ndarray) -> np.ndarray:
         """Exact counts of words; 0 for those not in this slice."""
         at, there = found(h, self.words)
-        return np.where(there, self.numbers[at], 0) if len(self.words) else np.zeros(len(h), np.int64)
+        return np.where(there, self.numbers[at], 0).astype(np.int64) if len(self.words) else np.zeros(len(h), np.int64)
 
 
 @dataclass
@@ -216,12 +216,17 @@ class Model:
 
         own = self.table.where((F.col("bucket") >= k * each) & (F.col("bucket") < (k + 1) * each)).select("bucket", "w", "wn", "g", "gn")
         bits = np.zeros((each, size // 8), np.uint8)
-        words, numbers = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for row in sorted(own.mapInArrow(build, "bucket int, bits binary, w binary, wn binary").collect()):
-            bits[row["bucket"] - k * each] = np.frombuffer(row["bits"], np.uint8)
-            words.append(np.frombuffer(row["w"], "<u8"))
-            numbers.append(np.frombuffer(row["wn"], "<i8"))
-        return Slice(k * each, self.buckets, size, bits.ravel(), np.concatenate(words), np.concatenate(numbers))
+        words: dict[int, np.ndarray] = {}
+        numbers: dict[int, np.ndarray] = {}
+        # partition by partition, so that the JVM never holds the whole slice
+        for row in own.mapInArrow(build, "bucket int, bits binary, w binary, wn binary").toLocalIterator(True):
+            b = row["bucket"] - k * each
+            bits[b] = np.frombuffer(row["bits"], np.uint8)
+            n = np.frombuffer(row["wn"], "<i8")
+            words[b], numbers[b] = np.frombuffer(row["w"], "<u8"), n.astype("<u4") if n.max(initial=0) < 2**32 else n
+        words[each], numbers[each] = np.zeros(0, U), np.zeros(0, "<u4")
+        order = sorted(words)
+        return Slice(k * each, self.buckets, size, bits.ravel(), np.concatenate([words[b] for b in order]), np.concatenate([numbers[b] for b in order]))
 
 
 def learn(docs: DataFrame, filter_bits: int = FILTER_BITS, words: int = WORDS) -> Model:
