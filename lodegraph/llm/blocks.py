@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 #: The six ASCII white-space bytes 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
@@ -111,28 +111,28 @@ def byte_values(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, 256).astype(U64) | U64(1)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept per worker."""
-    if seed not in _POWERS or len(_POWERS[seed][0]) < n:
-        size = 1 << max(n - 1, BLOCK_BYTES).bit_length()
-        base = (int(np.random.default_rng(seed + 1).integers(1, 2**62)) << 3) | 5
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n, kept per worker; a longer pair replaces it."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = max(n, BLOCK_BYTES + 1)
+        base = (int(np.random.default_rng(12).integers(1, 2**62)) << 3) | 5
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             out = np.full(size, b & (2**64 - 1), U64)
             out[0] = 1
-            both.append(np.multiply.accumulate(out))
-        _POWERS[seed] = (both[0], both[1])
-    return _POWERS[seed]
+            both.append(np.multiply.accumulate(out, out=out))
+        _POWERS[:] = [(both[0], both[1])]
+    return _POWERS[0]
 
 
 class Rolling:
     """Polynomial hashes of any substrings of one block, from prefix sums."""
 
     def __init__(self, data: np.ndarray, seed: int):
-        up, self.down = powers(len(data) + 1, seed)
+        up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum(byte_values(seed)[data] * up[: len(data)], out=self.sums[1:])
 

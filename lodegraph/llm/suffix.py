@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from .blocks import Rolling, durable, mix, packed, utf8
+from .blocks import BLOCK_BYTES, Rolling, durable, mix, packed, utf8
 
 WIDTH = 200
 KMER = 32
@@ -93,7 +93,7 @@ def segments(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     data, offsets = utf8(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (2 << 20), "right")) - 1))
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK_BYTES, "right")) - 1))
         size = int(offsets[hi] - offsets[lo])
         if size <= SEGMENT:
             yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], 0
@@ -166,7 +166,7 @@ def repeated_filters(docs: DataFrame, buckets: int) -> tuple[Filter, Filter]:
                 h.append(own.h)
                 c.append(own.c)
                 held += len(own.h)
-                if held > 1_000_000:
+                if held > 500_000:
                     yield dealt(h, c)
                     h, c, held = [], [], 0
         if held:
