@@ -32,10 +32,10 @@ from .blocks import LOWER, Rolling, counted, durable, found, mix, packed, text_b
 FILTER_BITS = 1 << 30
 WORDS = 1 << 23
 ITEM_BITS = 10
-PROBES = 5
+PROBES = 6
 #: By the likelihood of held-out texts, which is flat from here to twice this.
 MU = 512.0
-HELD = 1_000_000
+HELD = 500_000
 U = np.uint64
 #: Hashes of the end of a text and of what stands before its first word.
 END, START = U(0x5DEECE66D1234567), U(0x2545F4914F6CDD1D)
@@ -140,13 +140,14 @@ def counts(docs: DataFrame, buckets: int) -> DataFrame:
 # -- the filter -------------------------------------------------------------------------------
 
 
-def probes(h: np.ndarray, level: np.ndarray | int, size: int) -> Iterator[np.ndarray]:
-    """The places of (n-gram, level) in a segment of ``size`` bits."""
-    x = mix(h ^ mix(np.atleast_1d(np.asarray(level, U)) + U(0x632BE59BD9B4E019)))
-    at, step = x & U(0xFFFFFFFF), (x >> U(32)) | U(1)
-    for _ in range(PROBES):
-        yield (at % U(size)).astype(np.int64)
-        at = at + step
+def hashed(h: np.ndarray, level: int) -> np.ndarray:
+    """A start and a step, 32 bits each, for the probes of (n-gram, level)."""
+    return mix(h ^ mix(np.array([level], U) + U(0x632BE59BD9B4E019)))
+
+
+def scaled(at: np.ndarray, size: int) -> np.ndarray:
+    """The low 32 bits of ``at`` as places in a segment of ``size`` bits."""
+    return ((at & U(0xFFFFFFFF)) * U(size) >> U(32)).astype(np.int64)
 
 
 def segment(h: np.ndarray, level: np.ndarray, size: int) -> bytes:
@@ -154,8 +155,11 @@ def segment(h: np.ndarray, level: np.ndarray, size: int) -> bytes:
     for q in range(1, int(level.max(initial=0)) + 1):
         h = h[level >= q]
         level = level[level >= q]
-        for at in probes(h, q, size):
-            bits[at] = True
+        x = hashed(h, q)
+        at, step = x & U(0xFFFFFFFF), (x >> U(32)) | U(1)
+        for _ in range(PROBES):
+            bits[scaled(at, size)] = True
+            at = at + step
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -175,13 +179,16 @@ class Slice:
         out = np.zeros(len(h), np.uint8)
         at = (buckets_of(h, self.buckets) - self.first) * self.size
         live = np.flatnonzero((at >= 0) & (at < len(self.bits) * 8))
-        h, at, q = h[live], at[live], 1
+        h, base, q = h[live], at[live], 1
         while len(live) and q < len(EDGES):
-            there = np.ones(len(live), bool)
-            for own in probes(h, q, self.size):
-                place = at + own
-                there &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & np.uint8(1) == 1
-            live, h, at = live[there], h[there], at[there]
+            x = hashed(h, q)
+            at, step, left = x & U(0xFFFFFFFF), (x >> U(32)) | U(1), np.arange(len(live))
+            for _ in range(PROBES):  # only those still there are probed again
+                place = base[left] + scaled(at, self.size)
+                there = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & np.uint8(1) == 1
+                left, at, step = left[there], at[there], step[there]
+                at = at + step
+            live, h, base = live[left], h[left], base[left]
             out[live] = q
             q += 1
         return out
