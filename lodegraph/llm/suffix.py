@@ -82,7 +82,7 @@ class Anchors:
         at = np.flatnonzero(new)
         self.first, self.last, self.place = starts[at], starts[np.append(at[1:], len(starts)) - 1], place[at]
         self.text = np.searchsorted(offsets, self.first, "right") - 1
-        self.h = kmers[self.place]
+        self.h = mix(kmers[self.place] + U(0x9E3779B97F4A7C15))  # minima lie low: mixed again they deal evenly
         sides = ((self.place - self.first) << 8 | (self.place - self.last)).astype(U)
         self.c = mix(Rolling(data, 23).spans(self.first, self.last + WIDTH) + mix(sides + U(1)))
 
