@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ VALUE_BITS = 24
 #: Texts in one block, and bits of a place in it: more bits only for a longer single text.
 TEXTS = 4096
 PLACE_BITS = 21
+#: Bytes of text in one block, and compressed bytes opened at a time.
+BLOCK = 1 << 18
 #: Ranges of documents for each partition of the input.
 RANGES = 4
 U = np.uint64
@@ -88,7 +91,7 @@ def sketch(texts: list[str]) -> np.ndarray:
     """Signatures of any texts, in blocks of bounded size."""
     out = []
     for lo in range(0, len(texts), TEXTS):
-        for _, _, data, offsets in text_blocks(pa.array(texts[lo : lo + TEXTS], pa.string())):
+        for _, _, data, offsets in text_blocks(pa.array(texts[lo : lo + TEXTS], pa.string()), BLOCK):
             out.append(signatures(data, offsets))
     return np.concatenate(out) if out else np.zeros((0, BINS), np.uint16)
 
@@ -181,10 +184,10 @@ def compare(docs: DataFrame, per: int = RANGES) -> DataFrame:
         held: tuple[int, int | None, str, np.ndarray] | None = None  # a row whose next is still to come
         ended = -1  # the range whose guest has come
         for batch in batches:
-            raw = [unpack.decompress(x.as_py()) for x in batch.column("z")]
+            z = batch.column("z")
             keys = list(zip(batch.column("range").to_pylist(), batch.column("guest").to_pylist(), batch.column("doc_id").to_pylist(), strict=True))
-            for lo, hi in cut(np.cumsum([0, *map(len, raw)])):
-                texts = [x.decode() for x in raw[lo:hi]]
+            for lo, hi in cut(np.concatenate(([0], np.cumsum(pc.binary_length(z).to_numpy(zero_copy_only=False)))), BLOCK):
+                texts = [unpack.decompress(x.as_py()).decode() for x in z[lo:hi]]
                 sigs = sketch(texts)
                 rows = []
                 for (r, guest, i), text, sig in zip(keys[lo:hi], texts, sigs, strict=True):
