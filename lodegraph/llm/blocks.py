@@ -8,6 +8,7 @@ numpy temporaries stay bounded whatever the batch size.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -82,11 +83,21 @@ def cut(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the C library can: a worker that waits for its
+    next task keeps little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of successive blocks of a column."""
     data, offsets = utf8(column)
     for lo, hi in cut(offsets, limit):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+    release()
 
 
 def texts_of(column: pa.Array) -> list[str]:

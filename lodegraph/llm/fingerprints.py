@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType
 
-from .blocks import Rolling, cut, mix, text_blocks
+from .blocks import Rolling, cut, mix, release, text_blocks
 
 KMER = 12
 TUPLE = 2
@@ -198,6 +198,7 @@ def compare(docs: DataFrame, per: int = RANGES) -> DataFrame:
                     held = None if guest else (r, i, text, sig)
                     ended = r if guest else ended
                 yield from emit(rows)
+            release()
 
     def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(rows), 512):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from .blocks import BLOCK_BYTES, Rolling, durable, mix, packed, utf8
+from .blocks import BLOCK_BYTES, Rolling, durable, mix, packed, release, utf8
 
 WIDTH = 200
 KMER = 32
@@ -102,6 +102,7 @@ def segments(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
                 piece = data[offsets[lo] + at : min(offsets[hi], offsets[lo] + at + SEGMENT + WIDTH - 1)]
                 yield lo, hi, piece, np.array([0, len(piece)]), at
         lo = hi
+    release()
 
 
 # -- pruning filter -------------------------------------------------------------------
@@ -304,6 +305,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges = np.concatenate(([0], np.cumsum(counts)))
             any_, before = earlier | later, earlier
             maps = [[np.packbits(x[edges[i] : edges[i + 1]], bitorder="little").tobytes() for i in range(hi - lo)] for x in (any_, before)]
+            release()
             yield pa.RecordBatch.from_arrays([table["h"][lo:hi].combine_chunks(), table["c"][lo:hi].combine_chunks(), pa.array(maps[0], pa.binary()), pa.array(maps[1], pa.binary())], names=["h", "c", "other", "before"])
             lo = hi
 
