@@ -26,7 +26,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .blocks import text_blocks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-CACHE = 600_000
+CACHE = 300_000
 RESULT = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 #: Blanks and line feeds, then anything else: no pre-token crosses the start of such a stretch.
 STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")

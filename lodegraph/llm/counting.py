@@ -25,7 +25,7 @@ from .blocks import text_blocks
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
-CACHE = 600_000
+CACHE = 300_000
 PRETOKEN = re.compile(r"\n[^ \n]*| +[^ \n]*")
 BLANK = "▁"
 

@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .blocks import durable, text_blocks
+from .blocks import LOWER, durable, text_blocks
 
 LIMIT = 4096
 PATTERNS = 8192
 END_ID = 1
-CACHE = 600_000
+CACHE = 200_000
 RANKED = 200_000
+_LOWER = LOWER.tobytes()
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = ArrayType(StructType([StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType())]))
 PLACE = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType())])
@@ -42,20 +43,32 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": b""}, {}
 
     def learn(self, words: set[str]) -> None:
-        fresh = sorted(words - self.known.keys())
+        """Encode the words not known yet, as one sequence of separate words.  When ``CACHE`` words
+        are held they become the older ones, of which those that recur are taken over."""
+        fresh = words - self.known.keys()
         if len(self.known) + len(fresh) > CACHE:
-            self.known, fresh = {"": b""}, sorted(words)
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.older, self.known, fresh = self.known, {"": b""}, words
+        new = []
+        for w in sorted(fresh):
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(e.ids, "<u4").tobytes()
+            edges = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(part, edges[:-1], edges[1:], strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
+        """Little-endian unsigned 32-bit ids of each text.  The tokenizer lower-cases: A-Z may go
+        before it, unless that would make a special string."""
+        cut = [(x if "<|" in x else x.encode().translate(_LOWER).decode()).replace("\n", " ").split(" ") for x in texts]
         self.learn(set().union(*cut))
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
