@@ -88,6 +88,8 @@ class Codec:
             self.token[rank] = token
         self.queue = RankQueue(len(self.token))
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -97,12 +99,16 @@ class Codec:
             return [whole]
         end, before, queue = list(range(1, n + 1)), list(range(-1, n - 1)), self.queue
         # a part starts at i and ends at end[i]; end[i] is also where the next one starts
-        want = [-1] * n
+        want, held, get = [-1] * n, queue.buckets, ranks.get
         for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
+            r = get(piece[i : i + 2])
             if r is not None:
                 want[i] = r
-                queue.push(r, i)
+                bucket = held.get(r)
+                if bucket is None:
+                    queue.push(r, i)
+                else:
+                    bucket.append(i)  # places ascend: still a heap
         while (top := queue.pop()) is not None:
             rank, i = top
             if want[i] != rank:
@@ -135,7 +141,18 @@ class Codec:
         return out
 
     def stretch(self, text: str) -> bytes:
-        ids = [k for piece in self.pattern.findall(text) for k in self.merge(piece.encode())]
+        ids: list[int] = []
+        for piece in self.pattern.findall(text):
+            own = self.pieces.get(piece)
+            if own is None:
+                own = self.older.get(piece)
+                if own is None:
+                    own = self.merge(piece.encode())
+                if len(piece) <= 64:
+                    if len(self.pieces) >= CACHE:  # those that recur are taken over
+                        self.older, self.pieces = self.pieces, {}
+                    self.pieces[piece] = own
+            ids += own
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
