@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, cosine, tokens
@@ -21,7 +21,11 @@ def matches(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame
     """(key, term): the terms that a document has, as a token or, from three letters on, as the start
     of one.  The terms are few: they stand in the plan, and documents are read once."""
     own = docs.select(key, tokens(F.col(text)).alias("_tokens"))
-    hit = [F.when(F.exists("_tokens", lambda t, w=w: (t == w) | (t.startswith(w) if len(w) >= 3 else F.lit(False))), F.lit(w)) for w in terms]
+
+    def has(term: str) -> Column:
+        return F.exists("_tokens", lambda t: t.startswith(term) if len(term) >= 3 else t == term)
+
+    hit = [F.when(has(w), F.lit(w)) for w in terms]
     return own.select(key, F.explode(F.array_compact(F.array(*hit))).alias("term"))
 
 
