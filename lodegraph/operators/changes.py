@@ -31,7 +31,7 @@ def freshness(current: DataFrame, recorded: DataFrame, key: str, digest: str) ->
 
 def expired(generated: Column, ttl_seconds: Column, now: Column) -> Column:
     """fresh, stale, or unknown for a fact without a valid time."""
-    return F.when(generated.isNull() | ttl_seconds.isNull(), "unknown").when(now.cast("double") > generated.cast("double") + ttl_seconds, "stale").otherwise("fresh")
+    return F.when(generated.isNull() | ttl_seconds.isNull(), "unknown").when(now.cast("timestamp").cast("double") > generated.cast("timestamp").cast("double") + ttl_seconds, "stale").otherwise("fresh")
 
 
 def drift(current: DataFrame, previous: DataFrame, key: str, count: str) -> DataFrame:
