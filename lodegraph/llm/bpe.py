@@ -4,7 +4,8 @@ A pre-token's bytes form a linked list.  Every merge rank has a bucket of list p
 whose pair merges to that rank, and a bitmap of three levels says which buckets hold
 something: find-first-set on each level gives the least rank.  An entry whose pair has
 changed since is stale and skipped.  A merge costs a few word operations, so a pre-token of
-n bytes costs about n of them, however long it is.
+n bytes costs about n of them, however long it is.  Pre-tokens of a block share the queue, so
+that a bucket serves all of them at once.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import accumulate, islice, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -27,6 +30,8 @@ from .blocks import text_blocks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CACHE = 300_000
+#: Characters of pre-tokens that share a queue; a longer pre-token has it alone.
+LOT = 1 << 18
 RESULT = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 #: Blanks and line feeds, then anything else: no pre-token crosses the start of such a stretch.
 STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -54,31 +59,50 @@ class RankQueue:
         else:
             heappush(bucket, place)
 
-    def pop(self) -> tuple[int, int] | None:
-        """The least rank and, of its positions, the leftmost."""
+    def load(self, want: np.ndarray) -> None:
+        """A bucket for every rank in ``want``, -1 for none, with its places in order."""
+        order = np.argsort(want, kind="stable")
+        ranks = want[order]
+        first = int(np.searchsorted(ranks, 0))
+        cuts = np.flatnonzero(np.diff(ranks[first:], prepend=-1)) + first
+        places, stops = order.tolist(), [*cuts[1:].tolist(), len(want)][: len(cuts)]
+        for rank, lo, hi in zip(ranks[cuts].tolist(), cuts.tolist(), stops, strict=True):
+            self.push(rank, places[lo])
+            self.buckets[rank] += places[lo + 1 : hi]  # they ascend: a heap
+
+    def least(self) -> int:
+        """The least rank that has a bucket, or -1."""
         low, mid, high = self.words
         for k, word in enumerate(high):
             if word:
                 break
         else:
-            return None
+            return -1
         k = k << 6 | (word & -word).bit_length() - 1
         word = mid[k]
         k = k << 6 | (word & -word).bit_length() - 1
         word = low[k]
-        rank = k << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.words:
-                level[at >> 6] &= ~(1 << (at & 63))
-                if level[at >> 6]:
-                    break
-                at >>= 6
+        return k << 6 | (word & -word).bit_length() - 1
+
+    def pop(self) -> tuple[int, int] | None:
+        """The least rank and, of its places, the leftmost."""
+        rank = self.least()
+        if rank < 0:
+            return None
+        place = heappop(self.buckets[rank])
+        if not self.buckets[rank]:
+            self.drop(rank)
         return rank, place
 
+    def drop(self, rank: int) -> None:
+        """Forget an emptied bucket."""
+        del self.buckets[rank]
+        for level in self.words:
+            level[rank >> 6] &= ~(1 << (rank & 63))
+            if level[rank >> 6]:
+                break
+            rank >>= 6
+
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
@@ -87,90 +111,119 @@ class Codec:
         for token, rank in ranks.items():
             self.token[rank] = token
         self.queue = RankQueue(len(self.token))
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
+        self.double = np.full(1 << 16, -1)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.double[token[0] << 8 | token[1]] = rank
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        ranks, n = self.ranks, len(piece)
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        end, before, queue = list(range(1, n + 1)), list(range(-1, n - 1)), self.queue
-        # a part starts at i and ends at end[i]; end[i] is also where the next one starts
-        want, held, get = [-1] * n, queue.buckets, ranks.get
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                want[i] = r
-                bucket = held.get(r)
-                if bucket is None:
-                    queue.push(r, i)
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens, none of them empty.  They share one queue: a bucket holds places of
+        all of them, and a find-first-set serves every merge of its rank."""
+        data, starts = b"".join(pieces), [0, *accumulate(map(len, pieces))]
+        codes, n = np.frombuffer(data, np.uint8).astype(np.int64), len(data)
+        ids, pairs = self.single[codes].tolist(), np.full(n, -1)
+        if n:
+            pairs[:-1] = self.double[codes[:-1] << 8 | codes[1:]]
+            pairs[np.array(starts[1:]) - 1] = -1
+        # a part starts at i and ends at end[i], where the next one starts unless a pre-token does
+        end, before, edge = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n + 1)
+        for s in starts:
+            edge[s] = 1
+        for s in starts[:-1]:
+            before[s] = -1
+        want, get, queue = pairs.tolist(), self.ranks.get, self.queue
+        push, held = queue.push, queue.buckets
+        queue.load(pairs)
+        while (rank := queue.least()) >= 0:
+            bucket, least = held[rank], rank
+            while bucket and least >= rank:
+                i = heappop(bucket)
+                if want[i] != rank:
+                    continue  # stale
+                j = end[i]
+                e = end[i] = end[j]
+                want[j], ids[i] = -1, rank
+                if edge[e]:
+                    want[i] = -1
                 else:
-                    bucket.append(i)  # places ascend: still a heap
-        while (top := queue.pop()) is not None:
-            rank, i = top
-            if want[i] != rank:
-                continue  # stale
-            j = end[i]
-            e = end[i] = end[j]
-            want[j] = -1
-            if e < n:
-                before[e] = i
-                r = ranks.get(piece[i : end[e]])
-            else:
-                r = None
-            if r is None:
-                want[i] = -1
-            else:
-                want[i] = r
-                queue.push(r, i)
-            b = before[i]
-            if b >= 0:
-                r = ranks.get(piece[b:e])
-                if r is None:
-                    want[b] = -1
-                elif r != want[b]:
-                    want[b] = r
-                    queue.push(r, b)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+                    before[e] = i
+                    r = want[i] = get(data[i : end[e]], -1)
+                    if r >= 0:
+                        push(r, i)
+                        least = r
+                b = before[i]
+                if b >= 0:
+                    r = get(data[b:e], -1)
+                    if r != want[b]:
+                        want[b] = r
+                        if r >= 0:
+                            push(r, b)
+                            least = min(least, r)
+            if not bucket:
+                queue.drop(rank)
+        out = []
+        for i, stop in pairwise(starts):
+            own = []
+            while i < stop:
+                own.append(ids[i])
+                i = end[i]
+            out.append(own)
         return out
 
-    def stretch(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pattern.findall(text):
-            own = self.pieces.get(piece)
+    def ids_of(self, pieces: set[str]) -> dict[str, list[int]]:
+        """Ids of each distinct pre-token; those that are no token and not known yet are merged
+        together, in lots of a bounded number of bytes."""
+        out, lot, size = {}, [], 0
+
+        def flush() -> None:
+            nonlocal lot, size
+            out.update(zip(lot, self.merge([x.encode() for x in lot]), strict=True))
+            lot, size = [], 0
+
+        for piece in pieces:
+            own = self.pieces.get(piece) or self.older.get(piece)
             if own is None:
-                own = self.older.get(piece)
-                if own is None:
-                    own = self.merge(piece.encode())
-                if len(piece) <= 64:
-                    if len(self.pieces) >= CACHE:  # those that recur are taken over
-                        self.older, self.pieces = self.pieces, {}
-                    self.pieces[piece] = own
-            ids += own
-        return np.array(ids, "<u4").tobytes()
+                whole = self.ranks.get(piece.encode())
+                own = None if whole is None else [whole]
+            if own is not None:
+                out[piece] = own
+            else:
+                if lot and size + len(piece) > LOT:
+                    flush()
+                lot.append(piece)
+                size += len(piece)
+        flush()
+        for piece, own in out.items():
+            if len(piece) <= 64:
+                if len(self.pieces) >= CACHE:  # those that recur are taken over
+                    self.older, self.pieces = self.pieces, {}
+                self.pieces[piece] = own
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids.  Stretches between blanks are encoded once and kept,
-        if short; other white space than blanks and line feeds goes through the pattern whole."""
-        if OTHER_SPACE.search(text):
-            return self.stretch(text)
-        known, out = self.known, []
-        for part in STRETCH.findall(text):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.stretch(part)
-                if len(part) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text.  Stretches between blanks are encoded once
+        and kept, if short; other white space than blanks and line feeds goes through the pattern
+        whole."""
+        split = [[x] if OTHER_SPACE.search(x) else STRETCH.findall(x) for x in texts]
+        known = self.known
+        fresh = {part: self.pattern.findall(part) for part in {p for parts in split for p in parts if p not in known}}
+        ids = self.ids_of({piece for pieces in fresh.values() for piece in pieces})
+        new = {}
+        for part, pieces in fresh.items():
+            own = ids[pieces[0]] if len(pieces) == 1 else [i for piece in pieces for i in ids[piece]]
+            new[part] = struct.pack(f"<{len(own)}I", *own)
+        out = [b"".join([new[p] if p in new else known[p] for p in parts]) for parts in split]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+        known.update((p, x) for p, x in islice(new.items(), CACHE) if len(p) <= 64)
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -193,8 +246,7 @@ def round_trip(docs: DataFrame, path: str = RANKS) -> DataFrame:
     def digests(text: pa.Array) -> pa.Array:
         own, out = codec(path), []
         for lo, hi, _, _ in text_blocks(text):
-            for x in text[lo:hi].fill_null("").to_pylist():
-                ids = own.encode(x)
+            for ids in own.encode_all(text[lo:hi].fill_null("").to_pylist()):
                 out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
         n, a, b = zip(*out, strict=True) if out else ([], [], [])
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
@@ -208,6 +260,6 @@ def encoded(docs: DataFrame, path: str = RANKS) -> DataFrame:
 
     def ids(text: pa.Array) -> pa.Array:
         own = codec(path)
-        return pa.array([np.frombuffer(own.encode(x or ""), "<u4").astype(np.int64) for x in text.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in own.encode_all(text.fill_null("").to_pylist())], pa.list_(pa.int64()))
 
     return docs.select("doc_id", F.arrow_udf(ids, ArrayType(LongType()))(F.col("text")).alias("ids"))
