@@ -117,6 +117,7 @@ class Codec:
             if len(token) == 2:
                 self.double[token[0] << 8 | token[1]] = rank
         self.known: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
@@ -212,17 +213,18 @@ class Codec:
         and kept, if short; other white space than blanks and line feeds goes through the pattern
         whole."""
         split = [[x] if OTHER_SPACE.search(x) else STRETCH.findall(x) for x in texts]
-        known = self.known
-        fresh = {part: self.pattern.findall(part) for part in {p for parts in split for p in parts if p not in known}}
+        known, past = self.known, self.past
+        lacking = {p for parts in split for p in parts if p not in known}
+        new = {part: past[part] for part in lacking if part in past}
+        fresh = {part: self.pattern.findall(part) for part in lacking if part not in past}
         ids = self.ids_of({piece for pieces in fresh.values() for piece in pieces})
-        new = {}
         for part, pieces in fresh.items():
             own = ids[pieces[0]] if len(pieces) == 1 else [i for piece in pieces for i in ids[piece]]
             new[part] = struct.pack(f"<{len(own)}I", *own)
         out = [b"".join([new[p] if p in new else known[p] for p in parts]) for parts in split]
         if len(known) + len(new) > CACHE:
-            known.clear()
-        known.update((p, x) for p, x in islice(new.items(), CACHE) if len(p) <= 64)
+            self.past, self.known = known, {}  # those that recur are taken over
+        self.known.update((p, x) for p, x in islice(new.items(), CACHE) if len(p) <= 64)
         return out
 
     def decode(self, ids: bytes) -> bytes:
