@@ -1,4 +1,4 @@
-"""Files as tables: listings, project roots, archive manifests, coverage reports, owners, titles."""
+"""Files as tables: listings, project roots, archive manifests, coverage reports, titles."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Graphs as lines of text: DOT, Mermaid, GraphML, JSON-LD.
+"""Graphs as lines of text: DOT, Mermaid, GraphML, JSON lines.
 
 Each renderer gives (part, a, b, line); in the order of part, a and b the lines are the file.
 ``write`` sorts by ranges, so that no task holds a whole graph.
