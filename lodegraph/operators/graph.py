@@ -13,19 +13,22 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def traverse(edges: DataFrame, origins: DataFrame, max_depth: int | None = None) -> DataFrame:
+def traverse(edges: DataFrame, origins: DataFrame, max_depth: int | None = None, paths: bool = True) -> DataFrame:
     """(origin, node, distance, path, ways) of all that each origin reaches: path is the smallest of the
     shortest paths in the order of its nodes, ways their number.  One join a level; the frontier
-    alone is expanded, and a node is left out once it has been reached."""
+    alone is expanded, and a node is left out once it has been reached.  Without ``paths`` there is no path."""
+    best = [F.min("path").alias("path")] if paths else []
+    kept = ["path", "ways"] if paths else ["ways"]
     links = edges.select("src", "dst").where("src <> dst").distinct()
     start = origins.select(F.col("origin"), F.col("origin").alias("node"), F.lit(0).alias("distance"), F.array("origin").alias("path"), F.lit(1).cast("long").alias("ways")).distinct()
-    seen = frontier = settle(start)
+    seen = frontier = settle(start.select("origin", "node", "distance", *kept))
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(links, frontier["node"] == links["src"]).select("origin", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), "ways")
-        fresh = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").groupBy("origin", "node").agg(F.min("path").alias("path"), F.sum("ways").alias("ways"))
-        frontier = settle(fresh.select("origin", "node", F.lit(depth).alias("distance"), "path", "ways"))
+        longer = [F.concat("path", F.array("dst")).alias("path")] if paths else []
+        step = frontier.join(links, frontier["node"] == links["src"]).select("origin", F.col("dst").alias("node"), *longer, "ways")
+        fresh = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").groupBy("origin", "node").agg(*best, F.sum("ways").alias("ways"))
+        frontier = settle(fresh.select("origin", "node", F.lit(depth).alias("distance"), *kept))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -42,7 +45,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reach(nodes: DataFrame, edges: DataFrame, walked: DataFrame | None = None) -> DataFrame:
     """(node, reach): how many nodes depend on it, directly or not."""
-    found = walked if walked is not None else traverse(reverse(edges), nodes.select(F.col("node").alias("origin")))
+    found = walked if walked is not None else traverse(reverse(edges), nodes.select(F.col("node").alias("origin")), paths=False)
     own = found.where("distance > 0").groupBy(F.col("origin").alias("node")).agg(F.count("*").alias("reach"))
     return nodes.select("node").join(own, "node", "left").na.fill(0, ["reach"])
 
@@ -57,7 +60,7 @@ def hotspots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, betweenness): the sum over pairs of the share of their shortest paths through the
     node, its own pairs left out."""
-    pairs = traverse(edges, nodes.select(F.col("node").alias("origin"))).where("distance > 0").select("origin", "node", "distance", "ways")
+    pairs = traverse(edges, nodes.select(F.col("node").alias("origin")), paths=False).where("distance > 0").select("origin", "node", "distance", "ways")
     first = pairs.select(F.col("origin").alias("s"), F.col("node").alias("v"), F.col("distance").alias("d1"), F.col("ways").alias("w1"))
     second = pairs.select(F.col("origin").alias("v"), F.col("node").alias("t"), F.col("distance").alias("d2"), F.col("ways").alias("w2"))
     whole = pairs.select(F.col("origin").alias("s"), F.col("node").alias("t"), "distance", "ways")
@@ -94,6 +97,13 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(ends, "node", "left_anti")
 
 
+def authoritative(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, authoritative): the edges at a node, either way, that are authoritative."""
+    sure = edges.where("authoritative").select("src", "dst").distinct()
+    ends = sure.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
+    return nodes.select("node").join(ends.groupBy("node").agg(F.count("*").alias("authoritative")), "node", "left").na.fill(0, ["authoritative"])
+
+
 def profile(facts: DataFrame) -> DataFrame:
     """Risk score, level and priority from reach, fan_in, fan_out, betweenness, authoritative, hotspot."""
     score = 20 * F.col("reach") + 14 * F.col("fan_in") + 8 * F.col("fan_out") + F.least(F.lit(20.0), 4 * F.col("betweenness")) + 8 * F.col("authoritative") + F.when(F.col("hotspot"), 24).otherwise(0)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, graph_queries, merge_queries, stream_queries
+from . import event_queries, graph_queries, merge_queries, stream_queries, whole_queries
 
-_MODULES = (graph_queries, merge_queries, event_queries, stream_queries)
+_MODULES = (graph_queries, merge_queries, event_queries, stream_queries, whole_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}

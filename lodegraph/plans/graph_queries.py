@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import graph
 from .tables import BACK_SQL, ENTITY_SQL, PATHS_SQL, TRADE_SQL, entities, nations, table, trade
 
 Spark = SparkSession
+Links = Callable[[SparkSession, str], DataFrame]
 
 
 def entity_list(spark: Spark, sf_dir: str) -> DataFrame:
@@ -29,45 +32,46 @@ def evidence_lookup(spark: Spark, sf_dir: str) -> DataFrame:
     return customers.join(own, customers["c_custkey"] == own["o_custkey"], "left").select("c_custkey", "c_name", F.coalesce("proofs", F.lit(0)).alias("proofs"), "first_proof", "last_proof")
 
 
-def trade_edges(spark: Spark, sf_dir: str) -> DataFrame:
-    return trade(spark, sf_dir).select("src", "dst", F.round("amount", 2).alias("amount"))
+def trade_edges(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
+    return links(spark, sf_dir).select("src", "dst", F.round("amount", 2).alias("amount"))
 
 
-def transitive_dependents(spark: Spark, sf_dir: str) -> DataFrame:
+def transitive_dependents(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
     """The flagship: who depends on each nation, and how far away."""
-    walked = graph.traverse(graph.reverse(trade(spark, sf_dir)), nations(spark, sf_dir).select(F.col("node").alias("origin")))
+    walked = graph.traverse(graph.reverse(links(spark, sf_dir)), nations(spark, sf_dir).select(F.col("node").alias("origin")))
     return walked.select("origin", "node", "distance")
 
 
-def shortest_paths(spark: Spark, sf_dir: str) -> DataFrame:
-    walked = graph.traverse(trade(spark, sf_dir), nations(spark, sf_dir).select(F.col("node").alias("origin")))
+def shortest_paths(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
+    walked = graph.traverse(links(spark, sf_dir), nations(spark, sf_dir).select(F.col("node").alias("origin")))
     return walked.select("origin", "node", "distance", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "ways")
 
 
-def degree(spark: Spark, sf_dir: str) -> DataFrame:
-    return graph.degrees(nations(spark, sf_dir), trade(spark, sf_dir))
+def degree(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
+    return graph.degrees(nations(spark, sf_dir), links(spark, sf_dir))
 
 
-def reach_hotspots(spark: Spark, sf_dir: str) -> DataFrame:
-    return graph.hotspots(nations(spark, sf_dir), trade(spark, sf_dir))
+def reach_hotspots(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
+    return graph.hotspots(nations(spark, sf_dir), links(spark, sf_dir))
 
 
-def betweenness(spark: Spark, sf_dir: str) -> DataFrame:
-    return graph.betweenness(nations(spark, sf_dir), trade(spark, sf_dir))
+def betweenness(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
+    return graph.betweenness(nations(spark, sf_dir), links(spark, sf_dir))
 
 
-def operational_profile(spark: Spark, sf_dir: str) -> DataFrame:
+def operational_profile(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
     from ..operators.lineage import settle
 
-    nodes, edges = nations(spark, sf_dir), settle(trade(spark, sf_dir))
-    facts = graph.degrees(nodes, edges).join(graph.hotspots(nodes, edges), "node").join(graph.betweenness(nodes, edges), "node")
-    own = graph.profile(facts.withColumn("authoritative", F.lit(0)))
+    nodes, edges = nations(spark, sf_dir), settle(links(spark, sf_dir))
+    known = graph.authoritative(nodes, edges) if "authoritative" in edges.columns else nodes.withColumn("authoritative", F.lit(0))
+    facts = graph.degrees(nodes, edges).join(graph.hotspots(nodes, edges), "node").join(graph.betweenness(nodes, edges), "node").join(known, "node")
+    own = graph.profile(facts)
     return own.select("node", "reach", "fan_in", "fan_out", "betweenness", "hotspot", "risk", "level", "priority")
 
 
-def has_cycle(spark: Spark, sf_dir: str) -> DataFrame:
+def has_cycle(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
     """The edges on cycles or between them."""
-    return graph.cyclic_core(trade(spark, sf_dir))
+    return graph.cyclic_core(links(spark, sf_dir))
 
 
 def integrity_dangling(spark: Spark, sf_dir: str) -> DataFrame:
@@ -86,16 +90,16 @@ def orphan_nodes(spark: Spark, sf_dir: str) -> DataFrame:
     return graph.orphans(customers, urgent.select(F.lit(None).cast("long").alias("src"), "dst"))
 
 
-def graph_stats(spark: Spark, sf_dir: str) -> DataFrame:
+def graph_stats(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
     n = nations(spark, sf_dir).agg(F.count("*").alias("nodes"))
-    e = trade(spark, sf_dir).agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    e = links(spark, sf_dir).agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
     density = F.round(F.try_divide(F.col("edges"), F.col("nodes") * (F.col("nodes") - 1)), 6)
     return n.join(F.broadcast(e)).select("nodes", "edges", "sources", "targets", density.alias("density"))
 
 
-def explain_node(spark: Spark, sf_dir: str) -> DataFrame:
+def explain_node(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
     """For every nation its neighbours one and two links away, in either direction."""
-    edges, start = trade(spark, sf_dir), nations(spark, sf_dir).select(F.col("node").alias("origin"))
+    edges, start = links(spark, sf_dir), nations(spark, sf_dir).select(F.col("node").alias("origin"))
     up = graph.traverse(graph.reverse(edges), start, 2).select("origin", "node", "distance", F.lit("dependent").alias("role"))
     down = graph.traverse(edges, start, 2).select("origin", "node", "distance", F.lit("dependency").alias("role"))
     return up.unionByName(down).where("distance > 0")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import search
 from ..sources import render
 from ..streaming import events as streams
+from .graph_queries import Links
 from .tables import TRADE_SQL, nations, table, trade
 
 Spark = SparkSession
@@ -42,21 +43,21 @@ def once_stream(spark: Spark, sf_dir: str) -> DataFrame:
     return spark.read.schema(twice.schema).parquet(f"{at}/rows").select("event_id", "event_type")
 
 
-def _named(spark: Spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _named(spark: Spark, sf_dir: str, links: Links = trade) -> tuple[DataFrame, DataFrame]:
     n = lambda c: F.concat(F.lit("nation:"), F.col(c).cast("string"))
-    return nations(spark, sf_dir).select(n("node").alias("id")), trade(spark, sf_dir).select(n("src").alias("src"), n("dst").alias("dst"), F.lit("sells-to").alias("kind"))
+    return nations(spark, sf_dir).select(n("node").alias("id")), links(spark, sf_dir).select(n("src").alias("src"), n("dst").alias("dst"), F.lit("sells-to").alias("kind"))
 
 
-def graph_dot(spark: Spark, sf_dir: str) -> DataFrame:
-    return render.dot(*_named(spark, sf_dir)).select("part", "line")
+def graph_dot(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
+    return render.dot(*_named(spark, sf_dir, links)).select("part", "line")
 
 
-def graph_mermaid(spark: Spark, sf_dir: str) -> DataFrame:
-    return render.mermaid(*_named(spark, sf_dir)).select("part", "line")
+def graph_mermaid(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
+    return render.mermaid(*_named(spark, sf_dir, links)).select("part", "line")
 
 
-def graph_graphml(spark: Spark, sf_dir: str) -> DataFrame:
-    return render.graphml(*_named(spark, sf_dir)).select("part", "line")
+def graph_graphml(spark: Spark, sf_dir: str, links: Links = trade) -> DataFrame:
+    return render.graphml(*_named(spark, sf_dir, links)).select("part", "line")
 
 
 _TERMS = search.query_terms("which customers of the part are blue")
