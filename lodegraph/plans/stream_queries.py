@@ -71,12 +71,19 @@ def term_frequencies(spark: Spark, sf_dir: str) -> DataFrame:
 
 def nearest_vectors(spark: Spark, sf_dir: str) -> DataFrame:
     """The five vectors most alike to the first one by cosine."""
-    own = table(spark, sf_dir, "embeddings")
-    first = own.orderBy("vec_id").limit(1)
-    return search.nearest(own.where("embedding is not null"), first, "vec_id", "embedding", 5).select("vec_id", F.round("similarity", 4).alias("similarity"))
+    own = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    first = own.orderBy(F.asc_nulls_last("vec_id")).limit(1)
+    return search.nearest(own, first, "vec_id", "embedding", 5).select("vec_id", F.round("similarity", 4).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (burst_stream, once_stream, graph_dot, graph_mermaid, graph_graphml, term_frequencies, nearest_vectors)}
+def nearest_vectors_each(spark: Spark, sf_dir: str) -> DataFrame:
+    """The five vectors most alike by cosine to each one whose id is divisible by 100."""
+    own = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    found = search.nearest(own, own.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
+    return found.select("query_id", "rank", "vec_id", F.round("similarity", 4).alias("similarity"))
+
+
+QUERIES = {f.__name__: f for f in (burst_stream, once_stream, graph_dot, graph_mermaid, graph_graphml, term_frequencies, nearest_vectors, nearest_vectors_each)}
 
 _NAMED = f"WITH {TRADE_SQL}, n AS (SELECT 'nation:' || n_nationkey AS id FROM nation), e AS (SELECT 'nation:' || src AS src, 'nation:' || dst AS dst FROM edge)"
 
@@ -103,4 +110,8 @@ ORACLE_SQL = {
         SELECT term, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM f""",
     "nearest_vectors": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT e AS q FROM v ORDER BY vec_id LIMIT 1)
         SELECT vec_id, round(round(list_cosine_similarity(e, q), 6), 4) AS similarity FROM v, q ORDER BY round(list_cosine_similarity(e, q), 6) DESC, vec_id LIMIT 5""",
+    "nearest_vectors_each": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS similarity FROM v AS q JOIN v ON len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, round(similarity, 4) AS similarity FROM r WHERE rank <= 5""",
 }
