@@ -277,14 +277,15 @@ def similar(fps: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
 
 
 def classes(rows: DataFrame, tau: int = TAU) -> DataFrame:
-    """(fp, component_id) of every fingerprint in rows (doc_id, fp): the least doc_id that a
-    chain of links reaches; null if all its documents' ids are null."""
+    """(fp, component_id, root) of every fingerprint in rows (doc_id, fp): the least doc_id that a
+    chain of links reaches, null if all its documents' ids are null, and a fingerprint that stands
+    for the component."""
     groups = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(similar(groups, tau))
     label = groups.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     label = durable(label)
     least = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    return label.join(least, "root").select("fp", "component_id")
+    return label.join(least, "root").select("fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
@@ -293,6 +294,10 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     Null and wordless texts have fingerprint 0 and link like any other; repeated rows stay
     repeated; other columns are not read; an empty table gives no rows.
     """
+    return _rooted(docs, tau).drop("root")
+
+
+def _rooted(docs: DataFrame, tau: int) -> DataFrame:
     rows = durable(docs.select("doc_id", fingerprint_udf("text").alias("fp")))
     return rows.join(classes(rows, tau), "fp")
 
@@ -300,14 +305,12 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
 def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, that of the least doc_id; all
     columns stay.  Null ids come last; of rows with one id, any one stays."""
-    found = near_duplicates(docs, tau).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = durable(found.select("doc_id", "fp"))
+    found = _rooted(docs, tau).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = durable(found.select("doc_id", "fp", "root"))
     if chosen.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     # ids repeat or are null: rows are told apart by their fingerprints as well
     own = docs.withColumn("_fp", fingerprint_udf("text"))
-    kept = chosen.distinct().select(F.col("doc_id").alias("_id"), F.col("fp").alias("_chosen"))
+    kept = chosen.distinct().select(F.col("doc_id").alias("_id"), F.col("fp").alias("_chosen"), F.col("root").alias("_root"))
     on = own["doc_id"].eqNullSafe(kept["_id"]) & (own["_fp"] == kept["_chosen"])
-    out = own.join(kept, on, "left_semi")
-    again = classes(durable(out.select("doc_id", F.col("_fp").alias("fp"))), tau).toDF("_fp", "_class")
-    return out.join(again, "_fp").dropDuplicates(["_class"]).select(*docs.columns)
+    return own.join(kept, on).dropDuplicates(["_root"]).select(*docs.columns)

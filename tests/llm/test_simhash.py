@@ -77,3 +77,15 @@ def test_edges_of_the_input(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 7, 9]
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_classes_of_one_id_or_none(spark, monkeypatch):
+    """1 and 1 are linked through 2 alone: one row of the three stays; so it is without ids.  Unlike
+    rows of one id, or without ids, are classes of their own."""
+    monkeypatch.setattr(simhash, "fingerprint_udf", lambda c: simhash.F.col(c).cast("long"))
+    far = 255 << 40
+    linked = [(1, 0), (1, 255), (2, 15), (None, far), (None, far + (255 << 20)), (None, far + (15 << 20))]
+    alone = [(1, 0xFFFF << 44), (None, 0xFFFF << 28)]
+    kept = lambda rows: sorted(r.doc_id or 0 for r in simhash.keep_one(spark.createDataFrame([(i, str(x)) for i, x in rows], "doc_id long, text string")).collect())
+    assert kept(linked) == [0, 1]
+    assert kept(linked + alone) == [0, 0, 1, 1]
