@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -155,15 +155,35 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
+def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """How many of each language's rows to take: all have the same, what one lacks goes to the others."""
+    out, left = {}, sample
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - i)))
+        left -= out[lang]
+    return out
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network from the rows with a language that are not held out; of more than ``sample``,
-    those with the least hashes of doc_id."""
+    """A network from the rows with a language that are not held out; of more than ``sample``, each
+    language's rows with the least hashes of doc_id, by ``shares``.  No language is left out."""
+    spark = docs.sparkSession
+    known = docs.where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one a language
+    if not counts:
+        return train([], [])
+    need = shares(counts, sample)
+    # the least hashes lie below a bound, so that few rows are ranked
+    bound = {lang: min(2**63 - 1, (2 * n + 64) * 2**64 // counts[lang] - 2**63) for lang, n in need.items()}
+    wanted = F.broadcast(spark.createDataFrame([(x, need[x], bound[x]) for x in need], "lang string, need long, bound long"))
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SLICE + 1, F.lit(1))).cast("int") + 1
-    rows = (
-        docs.where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 3 <> 1")
-        .select("lang", F.substring(F.col("text"), place, F.lit(SLICE)).alias("part"), F.xxhash64("doc_id").alias("at"), F.col("doc_id").alias("id"))
-        .orderBy("at", "id", "part", "lang").limit(sample).collect()  # at most ``sample`` slices
-    )
+    slices = known.select("lang", F.substring(F.col("text"), place, F.lit(SLICE)).alias("part"), F.xxhash64("doc_id").alias("at"), F.col("doc_id").alias("id"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id", "part"))
+    rows = slices.join(wanted, "lang").where("at <= bound").withColumn("nth", nth).where("nth <= need").orderBy("at", "id", "part", "lang").select("lang", "part").collect()
+    missing = sorted(set(need) - {r["lang"] for r in rows})  # rows of one repeated id, over the bound
+    if missing:
+        first = slices.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.struct("at", "id", "part")).alias("r"))
+        rows += first.select("lang", "r.part").orderBy("lang").collect()
     return train([r["part"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -183,6 +203,10 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, net: Network | None = None) -> DataFrame:
-    """The rows whose text is identified with at least ``least`` confidence, columns as they are."""
-    p = predicted(docs, net or learn(docs))
+    """The rows whose text is identified with at least ``least`` confidence, columns as they are;
+    where nothing could be learned, all rows with a letter."""
+    net = net or learn(docs)
+    if not net.classes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    p = predicted(docs, net)
     return docs.where((p["lang"] != UNKNOWN) & (p["score"] >= least))

@@ -55,3 +55,17 @@ def test_responses_match_plain_convolution():
     want = [[max(float(net.embed[w[i : i + language.WIDE]].ravel() @ net.filters[:, f]) for i in range(language.WINDOW)) for f in range(net.filters.shape[1])] for w in windows]
     assert np.allclose(net.maxima(windows), want, atol=1e-4)
     assert language.classify(net, pa.array([], pa.string())).to_pylist() == []
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, text(rng, "ab"[i % 2], 80), "ab"[i % 2]) for i in range(3000)] + [(i, text(rng, "c", 80), "c") for i in range(5000, 5006)]
+    rows += [(9002, text(rng, "a", 80), "d") for _ in range(900)]  # one id: all hashes are the same
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.learn(docs, 40).classes) == {"a", "b", "c", "d"}
+    assert language.shares({"a": 100, "b": 3, "c": 50}, 40) == {"b": 3, "c": 18, "a": 19}
+
+
+def test_rows_stay_without_languages(docs):
+    kept = language.keep_identified(docs.withColumn("lang", language.F.lit(None).cast("string")))
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 3  # null, empty and letterless
