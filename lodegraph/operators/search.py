@@ -1,4 +1,4 @@
-"""Ranked retrieval over token sets: document frequencies, scores, budgets, vector top-k."""
+"""Ranked retrieval over token sets: document frequencies, scores, vector top-k."""
 
 from __future__ import annotations
 
