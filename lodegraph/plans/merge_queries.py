@@ -110,7 +110,8 @@ def freshness_compare(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def drift_delta(spark: Spark, sf_dir: str) -> DataFrame:
-    """Pending orders of each customer as issues: all against those that are not urgent."""
+    """Pending orders of each customer as issues: those of priorities 1 and 2 against 4 and 5, as in the
+    SQL twin; those of priority 3 are in neither version."""
     pending = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
     count = lambda df: df.groupBy("o_custkey").agg(F.count("*").alias("n"))
     return changes.drift(count(pending.where("o_orderpriority in ('1-URGENT', '2-HIGH')")), count(pending.where("o_orderpriority in ('4-NOT SPECIFIED', '5-LOW')")), "o_custkey", "n")
