@@ -9,16 +9,21 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch, in place of Spark's default: texts are long, and a task holds several batches.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 U64 = np.uint64
 #: The six ASCII white-space bytes 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
@@ -29,11 +34,14 @@ LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own where unset."""
+    """The folder named by ``spark.checkpoint.dir``; where unset, one of our own, but only if driver
+    and executors are one process: on a cluster each executor would write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         import tempfile
 
         named = "file://" + tempfile.mkdtemp(prefix="lodegraph-")
@@ -41,6 +49,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` from here on, unless the session has a size of its own."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
+_KEPT: dict[tuple[str, str], object] = {}
+
+
+def kept(kind: str, path: str, make: Callable[[str], T]) -> T:
+    """``make(path)``, kept by a worker from task to task until it needs something else: a worker
+    that serves several operators holds the tables of one."""
+    if (kind, path) not in _KEPT:
+        _KEPT.clear()
+        release()
+        _KEPT[kind, path] = make(path)
+    return _KEPT[kind, path]  # type: ignore[return-value]
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage that a
     lost executor does not undo.  The files go when the application ends."""
@@ -126,7 +153,7 @@ _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept per worker; a longer pair replaces it."""
+    """base**i and base**-i modulo 2**64 for i < n; a worker keeps those for a block's length only."""
     if not _POWERS or len(_POWERS[0][0]) < n:
         size = max(n, BLOCK_BYTES + 1)
         base = (int(np.random.default_rng(12).integers(1, 2**62)) << 3) | 5
@@ -135,6 +162,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             out = np.full(size, b & (2**64 - 1), U64)
             out[0] = 1
             both.append(np.multiply.accumulate(out, out=out))
+        if size > BLOCK_BYTES + 1:
+            return both[0], both[1]
         _POWERS[:] = [(both[0], both[1])]
     return _POWERS[0]
 
@@ -209,4 +238,5 @@ def packed(column: pa.Array, dtype: str) -> list[np.ndarray]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

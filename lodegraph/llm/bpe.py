@@ -4,7 +4,7 @@ A pre-token's bytes form a linked list.  Every merge rank has a bucket of list p
 whose pair merges to that rank, and a bitmap of three levels says which buckets hold
 something: find-first-set on each level gives the least rank.  An entry whose pair has
 changed since is stale and skipped.  A merge costs a few word operations, so a pre-token of
-n bytes costs about n of them, however long it is.  Pre-tokens of a block share the queue, so
+n bytes costs about n of them, however long it is; a bucket is sorted once, when it is taken.  Pre-tokens of a block share the queue, so
 that a bucket serves all of them at once.
 """
 
@@ -14,9 +14,7 @@ import base64
 import hashlib
 import re
 import struct
-from functools import lru_cache
-from heapq import heappop, heappush
-from itertools import accumulate, islice, pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -26,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .blocks import text_blocks
+from .blocks import kept, small_batches, text_blocks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-CACHE = 300_000
+CACHE = 500_000
 #: Characters of pre-tokens that share a queue; a longer pre-token has it alone.
 LOT = 1 << 18
 RESULT = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
@@ -46,18 +44,19 @@ class RankQueue:
         self.words = [[0] * (-(-ranks // 64**k)) for k in (1, 2, 3)]
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, place: int) -> None:
+    def push(self, rank: int, places: list[int]) -> None:
+        """Places for a rank, in any order."""
         bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [place]
-            for level in self.words:
-                word, bit = rank >> 6, 1 << (rank & 63)
-                if level[word] & bit:
-                    break
-                level[word] |= bit
-                rank = word
-        else:
-            heappush(bucket, place)
+        if bucket is not None:
+            bucket += places
+            return
+        self.buckets[rank] = places
+        for level in self.words:
+            word, bit = rank >> 6, 1 << (rank & 63)
+            if level[word] & bit:
+                break
+            level[word] |= bit
+            rank = word
 
     def load(self, want: np.ndarray) -> None:
         """A bucket for every rank in ``want``, -1 for none, with its places in order."""
@@ -67,8 +66,7 @@ class RankQueue:
         cuts = np.flatnonzero(np.diff(ranks[first:], prepend=-1)) + first
         places, stops = order.tolist(), [*cuts[1:].tolist(), len(want)][: len(cuts)]
         for rank, lo, hi in zip(ranks[cuts].tolist(), cuts.tolist(), stops, strict=True):
-            self.push(rank, places[lo])
-            self.buckets[rank] += places[lo + 1 : hi]  # they ascend: a heap
+            self.push(rank, places[lo:hi])
 
     def least(self) -> int:
         """The least rank that has a bucket, or -1."""
@@ -84,24 +82,16 @@ class RankQueue:
         word = low[k]
         return k << 6 | (word & -word).bit_length() - 1
 
-    def pop(self) -> tuple[int, int] | None:
-        """The least rank and, of its places, the leftmost."""
-        rank = self.least()
-        if rank < 0:
-            return None
-        place = heappop(self.buckets[rank])
-        if not self.buckets[rank]:
-            self.drop(rank)
-        return rank, place
-
-    def drop(self, rank: int) -> None:
-        """Forget an emptied bucket."""
-        del self.buckets[rank]
+    def take(self, rank: int) -> list[int]:
+        """The places of a rank from left to right; its bucket is gone."""
+        bucket = self.buckets.pop(rank)
         for level in self.words:
             level[rank >> 6] &= ~(1 << (rank & 63))
             if level[rank >> 6]:
                 break
             rank >>= 6
+        bucket.sort()
+        return bucket
 
 
 class Codec:
@@ -137,14 +127,14 @@ class Codec:
         for s in starts[:-1]:
             before[s] = -1
         want, get, queue = pairs.tolist(), self.ranks.get, self.queue
-        push, held = queue.push, queue.buckets
+        held = queue.buckets
         queue.load(pairs)
         while (rank := queue.least()) >= 0:
-            bucket, least = held[rank], rank
-            while bucket and least >= rank:
-                i = heappop(bucket)
+            bucket = queue.take(rank)
+            for k, i in enumerate(bucket):
                 if want[i] != rank:
                     continue  # stale
+                least = rank + 1
                 j = end[i]
                 e = end[i] = end[j]
                 want[j], ids[i] = -1, rank
@@ -154,18 +144,27 @@ class Codec:
                     before[e] = i
                     r = want[i] = get(data[i : end[e]], -1)
                     if r >= 0:
-                        push(r, i)
                         least = r
+                        if r in held:
+                            held[r].append(i)
+                        else:
+                            queue.push(r, [i])
                 b = before[i]
                 if b >= 0:
                     r = get(data[b:e], -1)
                     if r != want[b]:
                         want[b] = r
                         if r >= 0:
-                            push(r, b)
-                            least = min(least, r)
-            if not bucket:
-                queue.drop(rank)
+                            if r < least:
+                                least = r
+                            if r in held:
+                                held[r].append(b)
+                            else:
+                                queue.push(r, [b])
+                if least <= rank:  # the rest of the bucket has to wait
+                    if k + 1 < len(bucket):
+                        queue.push(rank, bucket[k + 1 :])
+                    break
         out = []
         for i, stop in pairwise(starts):
             own = []
@@ -214,17 +213,24 @@ class Codec:
         whole."""
         split = [[x] if OTHER_SPACE.search(x) else STRETCH.findall(x) for x in texts]
         known, past = self.known, self.past
-        lacking = {p for parts in split for p in parts if p not in known}
-        new = {part: past[part] for part in lacking if part in past}
-        fresh = {part: self.pattern.findall(part) for part in lacking if part not in past}
-        ids = self.ids_of({piece for pieces in fresh.values() for piece in pieces})
+        lacking = set().union(*split).difference(known)
+        fresh = {}
+        for part in lacking:
+            own = past.get(part)
+            if own is None:
+                fresh[part] = self.pattern.findall(part)
+            else:
+                known[part] = own  # those that recur are taken over
+        ids = self.ids_of(set().union(*fresh.values()))
         for part, pieces in fresh.items():
             own = ids[pieces[0]] if len(pieces) == 1 else [i for piece in pieces for i in ids[piece]]
-            new[part] = struct.pack(f"<{len(own)}I", *own)
-        out = [b"".join([new[p] if p in new else known[p] for p in parts]) for parts in split]
-        if len(known) + len(new) > CACHE:
-            self.past, self.known = known, {}  # those that recur are taken over
-        self.known.update((p, x) for p, x in islice(new.items(), CACHE) if len(p) <= 64)
+            known[part] = struct.pack(f"<{len(own)}I", *own)
+        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        for part in fresh:
+            if len(part) > 64:
+                del known[part]
+        if len(known) > CACHE:
+            self.past, self.known = known, {}
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -236,14 +242,19 @@ def load(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(2)
 def codec(path: str) -> Codec:
-    return Codec(load(path))
+    return kept("codec", path, lambda path: Codec(load(path)))
 
 
 def round_trip(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and decoded bytes of every row of
-    ``docs(doc_id, text)``; null is the empty text.  Rows are taken as they come."""
+    ``docs(doc_id, text)``.
+
+    Null is the empty text, without ids.  Rows are taken as they come, repeated or without a
+    doc_id; an empty table gives no rows; a text is encoded whole, however long; other columns,
+    whatever their names, are not read.
+    """
+    small_batches(docs.sparkSession)
 
     def digests(text: pa.Array) -> pa.Array:
         own, out = codec(path), []

@@ -1,31 +1,39 @@
-"""Token counts of a byte-fallback piece model without materialising ids.
+"""Token counts of a byte-fallback piece model without materialising the ids of a text.
 
 No piece of the model has a blank after another character, or a line feed, so no merge
 crosses the start of a run of blanks or of a line: a text splits there into pre-tokens whose
-counts add up.  Within a block of texts the pieces of every distinct pre-token are counted
-once, and the counts are joined to each text's pre-token frequencies and summed.  Counts
-stay known to a worker from block to block, up to ``CACHE`` of them.
+counts add up.
+
+1. Blocks of texts become frequencies: a block's distinct pre-tokens, and for each of its
+   texts the numbers of those it has and how often.
+2. The pre-tokens of all blocks are made distinct, and the pieces of each are counted once.
+3. The counts are joined to the pre-tokens of the blocks, a row for each block that has one, so
+   that a frequent pre-token is as many rows as there are blocks, not as there are texts.
+4. A block's counts come together and are summed, times their frequencies, over its texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from functools import lru_cache
-from operator import mul
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from .blocks import text_blocks
+from .blocks import durable, kept, release, small_batches, utf8
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
-CACHE = 300_000
+#: Bytes of text in one block; a longer text is a block of its own.
+BLOCK = 8 << 20
+#: Texts beyond this many characters are split one pre-token at a time.
+LONG = 1 << 20
 PRETOKEN = re.compile(r"\n[^ \n]*| +[^ \n]*")
 BLANK = "▁"
 
@@ -34,43 +42,107 @@ class PieceCounts:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model, self.known = sentencepiece.SentencePieceProcessor(model_file=path), {}
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces):
             raise ValueError("pieces of this model cross pre-tokens")
 
-    def count(self, distinct: set[str]) -> None:
-        """Count the pieces of the pre-tokens not known yet.  The library puts a blank before
-        what it encodes: it stands for a pre-token's first blank, or is taken off again."""
-        fresh = sorted(distinct - self.known.keys())
-        if len(self.known) + len(fresh) > CACHE:
-            self.known, fresh = {}, sorted(distinct)
-        for lo in range(0, len(fresh), 8192):
-            part = fresh[lo : lo + 8192]
-            ids = self.model.encode([x[1:] if x[0] == " " else x for x in part], num_threads=1)
-            self.known.update((x, 1 if x == " " else len(i) - (x[0] == "\n")) for x, i in zip(part, ids, strict=True))
-
-    def totals(self, texts: list[str]) -> list[int]:
-        found = [Counter(PRETOKEN.findall(" " + x.replace(BLANK, " "))) if x else Counter() for x in texts]
-        self.count(set().union(*found))
-        return [sum(map(mul, map(self.known.__getitem__, f), f.values())) for f in found]
-
-
-@lru_cache(2)
-def piece_counts(path: str) -> PieceCounts:
-    return PieceCounts(path)
-
-
-def token_counts(docs: DataFrame, path: str = MODEL, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of every row of ``docs(doc_id, text)``; null is
-    the empty text, without tokens.  Rows are taken as they come, repeated or not."""
-
-    def totals(text: pa.Array) -> pa.Array:
-        own, out = piece_counts(path), np.zeros(len(text), np.int64)
-        for lo, hi, _, _ in text_blocks(text):
-            out[lo:hi] = own.totals(text[lo:hi].fill_null("").to_pylist())
-        return pa.array(out)
-
-    n = F.arrow_udf(totals, LongType())(F.col("text"))
-    out = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), n.alias("n_tokens"))
+    def count(self, pretokens: list[str]) -> list[int]:
+        """How many pieces each pre-token has.  The library puts a blank before what it encodes: it
+        stands for a pre-token's first blank, or is taken off again.  It has no call that counts
+        alone: the pieces of a few thousand pre-tokens are there for a moment."""
+        out = []
+        for lo in range(0, len(pretokens), 4096):
+            part = pretokens[lo : lo + 4096]
+            found = self.model.encode([x[1:] if x[0] == " " else x for x in part], num_threads=1)
+            out += [1 if x == " " else len(own) - (x[0] == "\n") for x, own in zip(part, found, strict=True)]
+        return out
+
+
+def pretokens(text: str) -> Counter[str]:
+    """The pre-tokens of a text and how often it has each; an empty text has none."""
+    if not text:
+        return Counter()
+    text = " " + text.replace(BLANK, " ")
+    return Counter(PRETOKEN.findall(text) if len(text) < LONG else (m.group() for m in PRETOKEN.finditer(text)))
+
+
+def frequencies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(block, doc_ids, n_bytes, edges, at, n, words): the texts of a block, and of each text, between
+    two edges, the places in words of its pre-tokens and their frequencies."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, size = TaskContext.get().partitionId() << 32, [], 0
+        numbers = count(task)
+        for batch in batches:
+            _, offsets = utf8(batch.column("text"))
+            for r, text in enumerate(batch.column("text").fill_null("").to_pylist()):
+                held.append((batch.column("doc_id")[r].as_py(), int(offsets[r + 1] - offsets[r]), text))
+                size += held[-1][1]
+                if size >= block:
+                    yield packed(next(numbers), held)
+                    held, size = [], 0
+        if held:
+            yield packed(next(numbers), held)
+        release()
+
+    def packed(number: int, held: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
+        words: defaultdict[str, int] = defaultdict(count().__next__)
+        at, n, edges = [], [], [0]
+        for _, _, text in held:
+            own = pretokens(text)
+            at.append(np.fromiter(map(words.__getitem__, own), "<i4", len(own)))
+            n.append(np.fromiter(own.values(), "<i4", len(own)))
+            edges.append(edges[-1] + len(own))
+        return pa.RecordBatch.from_arrays([
+            pa.array([number]), pa.array([[i for i, _, _ in held]], pa.list_(pa.int64())), pa.array([[x for _, x, _ in held]], pa.list_(pa.int64())),
+            *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(edges, "<i8"), np.concatenate(at), np.concatenate(n))), pa.array([list(words)], pa.list_(pa.string())),
+        ], names=["block", "doc_ids", "n_bytes", "edges", "at", "n", "words"])
+
+    return docs.select("doc_id", "text").mapInArrow(gather, "block long, doc_ids array<long>, n_bytes array<long>, edges binary, at binary, n binary, words array<string>")
+
+
+def piece_counts(words: DataFrame, path: str = MODEL) -> DataFrame:
+    """(word, pieces) of the distinct pre-tokens of ``words(word)``, each counted once."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept("piece counts", path, PieceCounts)
+        for batch in batches:
+            found = own.count(batch.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.int32())], names=["word", "pieces"])
+
+    return words.distinct().mapInArrow(counted, "word string, pieces int")
+
+
+def totals(blocks: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and n_tokens from the frequencies of blocks and ``pieces``, a list of place << 32 |
+    count for each of a block's pre-tokens."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                edges, at, n = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("edges", "<i8"), ("at", "<i4"), ("n", "<i4")))
+                own = batch.column("pieces")[r].values
+                own = own.to_numpy() if own is not None else np.zeros(0, np.int64)
+                pieces = np.zeros(len(own), np.int64)
+                pieces[own >> 32] = own & 0xFFFFFFFF
+                run = np.concatenate(([0], np.cumsum(pieces[at] * n)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[r].values, batch.column("n_bytes")[r].values, pa.array(run[edges[1:]] - run[edges[:-1]])], names=["doc_id", "n_bytes", "n_tokens"])
+
+    return blocks.mapInArrow(summed, "doc_id long, n_bytes long, n_tokens long")
+
+
+def token_counts(docs: DataFrame, path: str = MODEL, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of every row of ``docs(doc_id, text)``.
+
+    Null is the empty text, without tokens.  Rows are taken as they come, repeated or without a
+    doc_id; an empty table gives no rows; a text is counted whole, however long; other columns,
+    whatever their names, are not read.
+    """
+    small_batches(docs.sparkSession)
+    blocks = durable(frequencies(docs, block))
+    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    each = words.join(piece_counts(words.select("word"), path), "word")
+    own = each.groupBy("block").agg(F.collect_list(F.shiftleft(F.col("place").cast("long"), 32) + F.col("pieces")).alias("pieces"))
+    out = totals(blocks.select("block", "doc_ids", "n_bytes", "edges", "at", "n").join(own, "block", "left"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

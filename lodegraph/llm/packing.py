@@ -11,7 +11,6 @@ applied by one join-free pass; ranks are counted within salted parts of a length
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .blocks import LOWER, durable, text_blocks
+from .blocks import LOWER, durable, kept, small_batches, text_blocks
 
 LIMIT = 4096
 PATTERNS = 8192
@@ -73,12 +72,11 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
-@lru_cache(2)
 def word_ids(path: str) -> WordIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordIds(path)
+    return kept("word ids", path, WordIds)
 
 
 def pieces_of(ids: bytes, limit: int = LIMIT) -> list[dict[str, int]]:
@@ -191,8 +189,8 @@ def best_fit(count: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]
 
 def make_plan(count: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, repeats) of the patterns that hold each piece of the histogram once.  The fit
-    is rounded to the nearest whole and down, in full and in halves; the plan with the
-    fewest sequences stays."""
+    is rounded to the nearest whole and down; the plan with fewer sequences stays.  Best fit
+    packs what the rounded patterns leave."""
     count = count.astype(np.int64)
     full = [((limit,), int(count[limit]))] if count[limit] else []
     rest = count.copy()
@@ -200,9 +198,9 @@ def make_plan(count: np.ndarray, limit: int = LIMIT) -> list[tuple[tuple[int, ..
     rows = enumerate_patterns(rest, limit)
     x = fit(rows, rest)
     plans = []
-    for share, shift in ((1, 0.5), (1, 0), (0.5, 0), (0.1, 0)):
+    for shift in (0.5, 0):
         left, plan = rest.copy(), []
-        repeats = np.floor(x * share + shift).astype(np.int64)
+        repeats = np.floor(x + shift).astype(np.int64)
         for i in np.argsort(-repeats, kind="stable"):
             if repeats[i] == 0:
                 break
@@ -247,8 +245,11 @@ def pack(docs: DataFrame, path: str = TOKENIZER, limit: int = LIMIT) -> DataFram
     ``docs(doc_id, text)``.
 
     Null and empty texts are pieces of the end id alone.  Rows that repeat, or whose doc_id is
-    null, are packed one by one; an empty table gives no rows; other columns are not read.
+    null, are packed one by one; an empty table gives no rows; a text of any length is tokenised
+    whole and cut into pieces; pieces of one length are ordered by doc_id, piece and ids; other
+    columns, whatever their names, are not read.
     """
+    small_batches(docs.sparkSession)
     rows = durable(pieces(docs, path, limit))
     count = np.zeros(limit + 1, np.int64)
     for r in rows.groupBy("length").count().collect():  # at most ``limit`` rows

@@ -49,17 +49,20 @@ def test_bpe_matches_on_any_text(library, x):
     assert own.decode(ids).decode() == x
 
 
-def test_rank_queue_gives_ranks_in_order():
+def test_rank_queue_gives_ranks_and_places_in_order():
     rng = np.random.default_rng(0)
-    queue, held = bpe.RankQueue(50_000), []
+    queue, held = bpe.RankQueue(50_000), {}
     for _ in range(3000):
         if rng.random() < 0.6 or not held:
-            held.append((int(rng.integers(0, 50_000) // rng.choice([1, 500])), int(rng.integers(0, 1000))))
-            queue.push(*held[-1])
+            rank, place = int(rng.integers(0, 50_000) // rng.choice([1, 500])), int(rng.integers(0, 1000))
+            held.setdefault(rank, []).append(place)
+            queue.push(rank, [place])
         else:
-            assert queue.pop() == min(held)
-            held.remove(min(held))
-    assert [queue.pop() for _ in range(len(held) + 1)] == [*sorted(held), None]
+            assert queue.least() == min(held)
+            assert queue.take(min(held)) == sorted(held.pop(min(held)))
+    while held:
+        assert queue.take(queue.least()) == sorted(held.pop(min(held)))
+    assert queue.least() == -1
 
 
 def test_counts_match_the_library(docs, model):
