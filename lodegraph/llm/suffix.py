@@ -6,13 +6,15 @@ A byte goes if a string of ``WIDTH`` bytes that covers it also starts elsewhere.
    windows have equal anchors at equal places, so only windows of one anchor hash can
    be equal.  Successive windows with one anchor make up a context (at most
    ``2 * WIDTH - KMER`` bytes), held as its 64-bit anchor and context hashes.
-2. Anchor hashes that occur once are pruned by a Bloom filter of fixed size; false
-   positives, or a full filter, cost time and change nothing.
-3. Distinct contexts of an anchor lie together in one task, which builds the suffix array
-   of their concatenation to depth ``WIDTH`` and, with previous and next smaller
-   positions in suffix order, finds each window that has an earlier or a later equal.
-   An anchor of over ``GROUP`` contexts compares 128-bit window hashes by a combined
-   aggregate instead.
+2. Anchor hashes that occur once are pruned by a Bloom filter that grows with those that repeat,
+   up to ``FILTER_BITS``; false positives, or a full filter, cost time and change nothing.
+   Equal contexts of a batch of texts are one row with a list of places.
+3. The distinct contexts of an anchor, those that repeat as they are among them, lie together in one
+   task, which builds the suffix array of their concatenation to depth ``WIDTH``.  A context
+   that repeats stands in the array twice, as its first copy and as any later one.  Previous
+   and next smaller positions in suffix order give each window an earlier or a later equal.
+   An anchor of over ``GROUP`` distinct contexts, which would not fit a task, compares 128-bit
+   window hashes by a combined aggregate instead.
 4. Marked windows return to their texts by a join; whatever they cover is cut out.
 
 ``keep="none"`` removes every copy (by the longest factor before or after), and
@@ -31,15 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from .blocks import BLOCK_BYTES, Rolling, durable, mix, packed, release, utf8
+from .blocks import BLOCK_BYTES, Rolling, durable, mix, packed, release, small_batches, utf8
 
 WIDTH = 200
 KMER = 32
 SPAN = WIDTH - KMER + 1
 PLACE_BITS = 24
 GROUP = 2048
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 28
+ITEM_BITS = 12
 PROBES = 4
+#: Rows of one Arrow batch of contexts, and context hashes a task remembers as sent.
+ROWS, SENT = 16_384, 1 << 21
 SEGMENT = 8 << 20
 U = np.uint64
 
@@ -63,7 +68,7 @@ class Anchors:
     """Contexts of one block: anchor hash h, context hash c, text number, place of the anchor
     in the block, first and last window start."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, contexts: bool = True):
         none = np.zeros(0, np.int64)
         self.h, self.c = np.zeros(0, U), np.zeros(0, U)
         self.text = self.place = self.first = self.last = none
@@ -83,6 +88,8 @@ class Anchors:
         self.first, self.last, self.place = starts[at], starts[np.append(at[1:], len(starts)) - 1], place[at]
         self.text = np.searchsorted(offsets, self.first, "right") - 1
         self.h = mix(kmers[self.place] + U(0x9E3779B97F4A7C15))  # minima lie low: mixed again they deal evenly
+        if not contexts:
+            return
         sides = ((self.place - self.first) << 8 | (self.place - self.last)).astype(U)
         self.c = mix(Rolling(data, 23).spans(self.first, self.last + WIDTH) + mix(sides + U(1)))
 
@@ -121,17 +128,17 @@ def segment_of(h: np.ndarray, buckets: int) -> np.ndarray:
 class Filter:
     """A Bloom filter in one segment for each bucket of the hash's top bits."""
 
-    def __init__(self, buckets: int, parts: dict[int, bytes]):
-        self.buckets, self.size = buckets, FILTER_BITS // buckets
-        self.bits = np.zeros((buckets, self.size // 8), np.uint8)
+    def __init__(self, buckets: int, size: int, parts: dict[int, bytes]):
+        self.buckets, self.size = buckets, size
+        self.bits = np.zeros((buckets, size // 8), np.uint8)
         for b, held in parts.items():
             self.bits[b] = np.frombuffer(held, np.uint8)
         self.bits = self.bits.ravel()
 
     @staticmethod
-    def part(h: np.ndarray, buckets: int) -> bytes:
-        bits = np.zeros(FILTER_BITS // buckets, bool)
-        bits[_probes(h, len(bits)).ravel()] = True
+    def part(h: np.ndarray, size: int) -> bytes:
+        bits = np.zeros(size, bool)
+        bits[_probes(h, size).ravel()] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
     def holds(self, h: np.ndarray) -> np.ndarray:
@@ -143,97 +150,117 @@ class Filter:
         return out
 
 
-def _condensed(h: np.ndarray, c: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One row for each h: a context hash, and flags 1 (h repeats) and 2 (contexts differ)."""
+def _condensed(h: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, and whether each is there twice or was marked so."""
     if len(h) == 0:
-        return h, c, flag
-    order = np.argsort(h, kind="stable")
-    h, c, flag = h[order], c[order], flag[order]
+        return h, many
+    order = np.argsort(h)
+    h, many = h[order], many[order]
     at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    many = np.diff(np.append(at, len(h))) > 1
-    low, high = np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)
-    out = np.bitwise_or.reduceat(flag, at) | many.astype(np.uint8) | ((low != high).astype(np.uint8) << 1)
-    return h[at], low, out
+    return h[at], np.logical_or.reduceat(many, at) | (np.diff(np.append(at, len(h))) > 1)
 
 
-def repeated_filters(docs: DataFrame, buckets: int) -> tuple[Filter, Filter]:
-    """Filters of the anchor hashes that repeat, and of those whose contexts differ."""
+def repeated_filter(docs: DataFrame, buckets: int, most: int = FILTER_BITS) -> Filter:
+    """A filter of the anchor hashes that repeat, of ITEM_BITS bits each and ``most`` in all."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c, held = [], [], 0
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for _, _, data, offsets, _ in segments(batch.column("text")):
-                own = Anchors(data, offsets)
-                h.append(own.h)
-                c.append(own.c)
-                held += len(own.h)
-                if held > 500_000:
-                    yield dealt(h, c)
-                    h, c, held = [], [], 0
-        if held:
-            yield dealt(h, c)
-
-    def dealt(h: list[np.ndarray], c: list[np.ndarray]) -> pa.RecordBatch:
-        hs, cs, flags = _condensed(np.concatenate(h), np.concatenate(c), np.zeros(sum(map(len, h)), np.uint8))
-        edges = np.searchsorted(segment_of(hs, buckets), np.arange(buckets + 1))
+                held.append(Anchors(data, offsets, False).h)
+                size += len(held[-1])
+                if size > 500_000:
+                    yield dealt(held)
+                    held, size = [], 0
+        if size:
+            yield dealt(held)
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, many = _condensed(np.concatenate(held), np.zeros(sum(map(len, held)), bool))
+        edges = np.searchsorted(segment_of(h, buckets), np.arange(buckets + 1))
         full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        cut = [[x[edges[b] : edges[b + 1]].tobytes() for b in full] for x in (hs, cs, flags)]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in cut)], names=["bucket", "h", "c", "flag"])
+        cut = [[x[edges[b] : edges[b + 1]].tobytes() for b in full] for x in (h, many)]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in cut)], names=["bucket", "h", "many"])
 
     def reduced(table: pa.Table) -> pa.Table:
-        h, c, f = (np.concatenate(packed(table[k], t)) for k, t in (("h", U), ("c", U), ("flag", np.uint8)))
-        h, _, f = _condensed(h, c, f)
-        rows = [Filter.part(h[f & own > 0], buckets) for own in (1, 2)]
-        return pa.table({"bucket": table["bucket"][:1], "repeated": [rows[0]], "mixed": [rows[1]]})
+        h, many = _condensed(np.concatenate(packed(table["h"], U)), np.concatenate(packed(table["many"], bool)))
+        h = h[many]
+        return pa.table({"bucket": table["bucket"][:1], "n": [len(h)], "h": pa.array([h.tobytes()], pa.binary())})
 
-    parts = (
+    repeated = durable(
         docs.select("text")
-        .mapInArrow(gather, "bucket int, h binary, c binary, flag binary")
+        .mapInArrow(gather, "bucket int, h binary, many binary")
         .groupBy("bucket")
-        .applyInArrow(reduced, "bucket int, repeated binary, mixed binary")
-        .collect()  # 2 * FILTER_BITS bits, whatever the input
+        .applyInArrow(reduced, "bucket int, n long, h binary")
     )
-    return tuple(Filter(buckets, {r["bucket"]: r[k] for r in parts}) for k in ("repeated", "mixed"))
+    fullest = repeated.agg(F.coalesce(F.max("n"), F.lit(0))).head()[0]  # hashes deal them evenly
+    size = min(max(1 << 10, -(-fullest * ITEM_BITS // 64) * 64), most // buckets)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [Filter.part(np.frombuffer(x.as_buffer(), U), size) for x in batch.column("h")]
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(bits, pa.binary())], names=["bucket", "bits"])
+
+    rows = repeated.select("bucket", "h").mapInArrow(parts, "bucket int, bits binary").toLocalIterator()  # ``most`` bits at most
+    return Filter(buckets, size, {r["bucket"]: r["bits"] for r in rows})
 
 
 # -- contexts and suffix arrays ----------------------------------------------------------
 
 
+OCC = "array<struct<doc_id:long,t:long,loc:long>>"
+
+
 def occurrences(docs: DataFrame, buckets: int) -> DataFrame:
-    """A row for each context whose anchor may repeat: (h, c, doc_id, t, loc); the first of
-    a block's equal contexts also has their number n and, where contexts of the anchor may
-    differ, the bytes.  loc: place of the anchor << 16 | bytes from the first and last start."""
-    repeated, mixed = (docs.sparkSession.sparkContext.broadcast(x) for x in repeated_filters(docs, buckets))
+    """A row for each batch of texts and distinct context in it whose anchor may repeat: (h, c, occ, ctx).
+    occ: where it is, in order of doc_id, null last, text hash and place; ctx: its bytes, unless
+    the task has sent them with an earlier batch.  loc: place of the anchor << 16 | bytes from the
+    first and last start."""
+    repeated = docs.sparkSession.sparkContext.broadcast(repeated_filter(docs, buckets))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(0, U)
         for batch in batches:
             ids, t = batch.column("doc_id"), batch.column("t")
             key = np.lexsort((t.to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)))
             rank = np.empty(len(key), np.int64)
             rank[key] = np.arange(len(key))
+            found: list[tuple[np.ndarray, ...]] = []
             for lo, _, data, offsets, shift in segments(batch.column("text")):
                 own = Anchors(data, offsets)
                 keep = np.flatnonzero(repeated.value.holds(own.h))
-                if len(keep) == 0:
-                    continue
-                h, c, text, place = own.h[keep], own.c[keep], own.text[keep] + lo, own.place[keep]
-                first, last = own.first[keep], own.last[keep]
-                order = np.lexsort((place, rank[text], c, h))
-                hs, cs = h[order], c[order]
-                lead = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1]))))
-                n = np.zeros(len(keep), np.int64)
-                n[order[lead]] = np.diff(np.append(lead, len(order)))
-                carry = np.flatnonzero(mixed.value.holds(h) & (n > 0))
-                ctx = np.full(len(keep), None, object)
-                for i in carry:
-                    ctx[i] = data[first[i] : last[i] + WIDTH].tobytes()
+                place, first, last = own.place[keep], own.first[keep], own.last[keep]
                 loc = (place - offsets[own.text[keep]] + shift) << 16 | (place - first) << 8 | (place - last)
+                found.append((own.h[keep], own.c[keep], own.text[keep] + lo, loc))
+            if not found:
+                continue
+            h, c, text, loc = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((loc, rank[text], c, h))
+            h, c, text, loc = h[order], c[order], text[order], loc[order]
+            lead = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))) if len(h) else np.zeros(0, np.int64)
+            edges = np.append(lead, len(h))
+            mark = h[lead] ^ c[lead]
+            fresh = np.ones(len(lead), bool)
+            if len(sent) and len(mark):
+                at = np.minimum(np.searchsorted(sent, mark), len(sent) - 1)
+                fresh = sent[at] != mark
+            sent = np.union1d(sent, mark) if len(sent) + len(mark) < SENT else np.unique(mark)
+            data, offsets = utf8(batch.column("text"))
+            for lo in range(0, len(lead), ROWS):
+                hi = min(len(lead), lo + ROWS)
+                a, b = edges[lo], edges[hi]
+                start = offsets[text[lead[lo:hi]]] + (loc[lead[lo:hi]] >> 16)
+                back, ahead = loc[lead[lo:hi]] >> 8 & 255, loc[lead[lo:hi]] & 255
+                ctx = [data[s - x : s - y + WIDTH].tobytes() if own else None for s, x, y, own in zip(start.tolist(), back.tolist(), ahead.tolist(), fresh[lo:hi].tolist(), strict=True)]
+                rows = pa.array(text[a:b])
+                occ = pa.StructArray.from_arrays([ids.take(rows), t.take(rows), pa.array(loc[a:b])], names=["doc_id", "t", "loc"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), ids.take(pa.array(text)), t.take(pa.array(text)), pa.array(loc), pa.array(n), pa.array(ctx, pa.binary())],
-                    names=["h", "c", "doc_id", "t", "loc", "n", "ctx"],
+                    [pa.array(h[lead[lo:hi]].view(np.int64)), pa.array(c[lead[lo:hi]].view(np.int64)), pa.ListArray.from_arrays(pa.array((edges[lo : hi + 1] - a).astype(np.int32)), occ), pa.array(ctx, pa.binary())],
+                    names=["h", "c", "occ", "ctx"],
                 )
 
-    return docs.mapInArrow(scan, "h long, c long, doc_id long, t long, loc long, n long, ctx binary")
+    return docs.mapInArrow(scan, f"h long, c long, occ {OCC}, ctx binary")
 
 
 def suffix_ranks(data: np.ndarray, depth: int = WIDTH) -> np.ndarray:
@@ -262,15 +289,15 @@ def _ranked(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def factors(rank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the longest previous and the longest next factor of each start reach the depth
-    of the ranks.  In suffix order with ties as they come from an unstable order, the
-    previous (next) smaller position of an entry lies in its run of equal ranks unless the
-    entry is a prefix (suffix) minimum of the run; likewise for larger positions."""
-    order = np.argsort(rank[starts], kind="stable")
-    r, p = rank[starts][order], starts[order].astype(np.int64)
+def factors(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the longest previous and the longest next factor of the suffixes at each place, of
+    these ranks, reach the depth of the ranks.  In suffix order with ties as they come from an
+    unstable order, the previous (next) smaller position of an entry lies in its run of equal
+    ranks unless the entry is a prefix (suffix) minimum of the run; likewise for larger positions."""
+    order = np.argsort(rank, kind="stable")
+    r, p = rank[order], place[order].astype(np.int64)
     run = np.concatenate(([0], np.cumsum(r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
-    wide = 1 << 21
+    wide = 1 << 22
 
     def smaller(p: np.ndarray) -> np.ndarray:
         left = p > np.minimum.accumulate(p - run * wide) + run * wide
@@ -284,15 +311,15 @@ def factors(rank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit maps of the windows of each context: equal to one of another context, and to one
-    of an earlier context.  Rows come by h and, within h, by first occurrence."""
+    """(h, c, first, other, before, later): bit maps of the windows of each context, of its first copy
+    equal to a window elsewhere and to one of an earlier place, and of its later copies equal to one
+    of an earlier place.  Rows (h, c, first, k, ctx) come by h and, within h, by first."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ctx = table["ctx"].combine_chunks()
-        h = table["h"].to_numpy()
-        data, offsets = utf8_binary(ctx)
+        data, offsets = utf8_binary(table["ctx"].combine_chunks())
+        h, twice = table["h"].to_numpy(), table["k"].to_numpy() > 1
         lo = 0
         while lo < len(h):
             hi = int(np.searchsorted(offsets, offsets[lo] + (1 << 20), "right")) - 1
@@ -300,13 +327,20 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hi = int(np.searchsorted(h[lo : hi + 1], h[hi])) + lo  # no group is cut
             own, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             counts = np.diff(off) - WIDTH + 1
-            starts = np.repeat(off[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-            earlier, later = factors(suffix_ranks(own), starts)
             edges = np.concatenate(([0], np.cumsum(counts)))
-            any_, before = earlier | later, earlier
-            maps = [[np.packbits(x[edges[i] : edges[i + 1]], bitorder="little").tobytes() for i in range(hi - lo)] for x in (any_, before)]
+            starts = np.repeat(off[:-1] - edges[:-1], counts) + np.arange(counts.sum())
+            again = np.flatnonzero(np.repeat(twice[lo:hi], counts))  # windows of contexts that repeat
+            ranks = suffix_ranks(own)[starts]
+            # a later copy has its first one's ranks, and a position of its own behind it
+            earlier, later = factors(np.concatenate((ranks, ranks[again])), np.concatenate((2 * starts, 2 * starts[again] + 1)))
+            copy = np.zeros(len(starts), bool)
+            copy[again] = earlier[len(starts) :]
+            maps = (earlier[: len(starts)] | later[: len(starts)], earlier[: len(starts)], copy)
+            full = [np.add.reduceat(x, edges[:-1]) for x in maps]
+            bits = [[_bits(x[edges[i] : edges[i + 1]], int(n[i])) for i in range(hi - lo)] for x, n in zip(maps, full, strict=True)]
             release()
-            yield pa.RecordBatch.from_arrays([table["h"][lo:hi].combine_chunks(), table["c"][lo:hi].combine_chunks(), pa.array(maps[0], pa.binary()), pa.array(maps[1], pa.binary())], names=["h", "c", "other", "before"])
+            own = pa.Table.from_arrays([*(table[c][lo:hi] for c in ("h", "c", "first")), *(pa.array(x, pa.binary()) for x in bits)], names=["h", "c", "first", "other", "before", "later"])
+            yield from own.filter(own["other"].is_valid()).combine_chunks().to_batches()
             lo = hi
 
     for batch in batches:
@@ -324,6 +358,11 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(pa.Table.from_batches(held).combine_chunks())
 
 
+def _bits(x: np.ndarray, n: int) -> bytes | None:
+    """A bit map; none where no bit is set, and an empty one where all are."""
+    return None if n == 0 else b"" if n == len(x) else np.packbits(x, bitorder="little").tobytes()
+
+
 def utf8_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -335,21 +374,23 @@ def utf8_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-ORDER = ["u", "doc_id", "t", "loc"]
+FIRST = "struct<u:boolean,doc_id:long,t:long,loc:long>"
+MARKS = f"h long, c long, first {FIRST}, other binary, before binary, later binary"
 
 
 def marks(found: DataFrame, group: int = GROUP) -> DataFrame:
-    """(h, c, other, before) of the contexts whose anchor has several contexts."""
-    own = found.where("ctx is not null").withColumn("u", F.col("doc_id").isNull())
-    hot = durable(own.groupBy("h").count().where(F.col("count") > group).select("h"))
+    """MARKS of the contexts that have a window elsewhere.  ``group``: most contexts of an anchor in one
+    suffix array, 2,048 at most."""
+    if not 0 < group <= GROUP:
+        raise ValueError(group)
+    head = F.col("occ")[0]
+    own = found.select("h", "c", F.size("occ").cast("long").alias("k"), F.struct(head["doc_id"].isNull().alias("u"), head["doc_id"].alias("doc_id"), head["t"].alias("t"), head["loc"].alias("loc")).alias("first"), "ctx")
+    hot = durable(found.select("h", "c").distinct().groupBy("h").count().where(F.col("count") > group).select("h"))
     calm, crowded = own, None
     if not hot.isEmpty():
         calm, crowded = own.join(hot, "h", "left_anti"), own.join(hot, "h", "left_semi")
-    first = F.min(F.struct(*ORDER)).alias("first")
-    out = (
-        calm.repartition("h").groupBy("h", "c").agg(first, F.first("ctx").alias("ctx"))
-        .sortWithinPartitions("h", "first").select("h", "c", "ctx").mapInArrow(_mark, "h long, c long, other binary, before binary")
-    )
+    both = [F.sum("k").alias("k"), F.min("first").alias("first"), F.first("ctx", ignorenulls=True).alias("ctx")]
+    out = calm.repartition("h").groupBy("h", "c").agg(*both).sortWithinPartitions("h", "first").select("h", "c", "first", "k", "ctx").mapInArrow(_mark, MARKS)
     if crowded is None:
         return out
 
@@ -365,14 +406,14 @@ def marks(found: DataFrame, group: int = GROUP) -> DataFrame:
                 at = off[row] + i
                 x, y = (mix(Rolling(own, s).windows(WIDTH))[at].view(np.int64) for s in (31, 37))
                 rows = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(i), *(batch.column(k).take(rows) for k in ("h", "c", "first"))], names=["x", "y", "i", "h", "c", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(i), *(batch.column(k).take(rows) for k in ("h", "c", "k", "first"))], names=["x", "y", "i", "h", "c", "k", "first"])
 
-    one = crowded.groupBy("h", "c").agg(first, F.first("ctx").alias("ctx"))
-    schema = f"x long, y long, i long, h long, c long, first {one.schema['first'].dataType.simpleString()}"
-    each = one.select("ctx", "h", "c", "first").mapInArrow(windows, schema)
-    least = each.groupBy("x", "y").agg(F.count("*").alias("k"), F.min("first").alias("least")).where("k > 1")
-    hits = each.join(least, ["x", "y"]).groupBy("h", "c").agg(F.collect_list("i").alias("other"), F.collect_list(F.when(F.col("least") < F.col("first"), F.col("i"))).alias("before"))
-    return out.union(hits.select("h", "c", bit_map("other"), bit_map("before")))
+    one = crowded.groupBy("h", "c").agg(*both)
+    each = one.select("ctx", "h", "c", "k", "first").mapInArrow(windows, f"x long, y long, i long, h long, c long, k long, first {FIRST}")
+    least = durable(each.groupBy("x", "y").agg(F.sum("k").alias("n"), F.min("first").alias("least")).where("n > 1"))
+    hits = each.join(least, ["x", "y"]).groupBy("h", "c").agg(F.min("first").alias("first"), F.max("k").alias("k"), F.collect_list("i").alias("other"), F.collect_list(F.when(F.col("least") < F.col("first"), F.col("i"))).alias("before"))
+    before = F.when(F.size("before") > 0, bit_map("before"))
+    return out.union(hits.select("h", "c", "first", bit_map("other"), before, F.when(F.col("k") > 1, F.lit(b""))))
 
 
 @F.arrow_udf(BinaryType())
@@ -393,15 +434,16 @@ def repeats(docs: DataFrame, keep: str = "none", group: int = GROUP) -> DataFram
     own = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     buckets = 1 << min(16, max(6, (2 * own.rdd.getNumPartitions() - 1).bit_length()))
     found = durable(occurrences(own, buckets))
-    rows = found.select("h", "c", "doc_id", "t", "loc").withColumn("u", F.col("doc_id").isNull())
-    each = rows.groupBy("h", "c").agg(F.count("*").alias("k"), F.min(F.struct(*ORDER)).alias("first"))
-    each = each.join(marks(found, group), ["h", "c"], "left")
+    # a frequent context is a row for each batch that has it; neither side of the join is grouped by its
+    # key, so that a hot one can be split
+    rows = found.select("h", "c", "occ").join(marks(found, group), ["h", "c"]).withColumn("o", F.explode("occ"))
     if keep == "none":
-        bits = F.when(F.col("k") > 1, F.lit(b"")).otherwise(F.col("other"))
+        bits = F.col("other")
     else:
-        bits = F.when(F.struct(*ORDER).eqNullSafe(F.col("first")), F.col("before")).otherwise(F.lit(b""))
-    every = each.where("k > 1 or other is not null")
-    return rows.join(every, ["h", "c"]).select("doc_id", "t", "loc", bits.alias("bits")).where("bits is not null").groupBy("doc_id", "t").agg(F.collect_list(F.struct("loc", "bits")).alias("spans"))
+        at = F.struct(F.col("o.doc_id").isNull().alias("u"), F.col("o.doc_id").alias("doc_id"), F.col("o.t").alias("t"), F.col("o.loc").alias("loc"))
+        bits = F.when(at.eqNullSafe(F.col("first")), F.col("before")).otherwise(F.col("later"))
+    out = rows.select("o.doc_id", "o.t", "o.loc", bits.alias("bits")).where("bits is not null")
+    return out.groupBy("doc_id", "t").agg(F.collect_list(F.struct("loc", "bits")).alias("spans"))
 
 
 def covered(n: int, spans: list[dict] | None) -> np.ndarray:
@@ -426,24 +468,29 @@ def squeezed(text: pa.Array) -> pa.Array:
     return pa.array([pack.compress((x or "").encode()) for x in text.to_pylist()], pa.binary())
 
 
+TAKEN = ["n_bytes", "n_removed", "n_spans", "kept"]
 RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def cut_repeats(docs: DataFrame, keep: str = "none", group: int = GROUP) -> DataFrame:
     """All columns of ``docs`` but text, with n_bytes, n_removed, n_spans and the kept bytes.
 
-    A null text counts as empty; texts below WIDTH bytes stay whole; of rows that repeat
-    with one doc_id and text, ``keep="first"`` clears all but one; an empty table gives no
-    rows.  Kept bytes may be cut inside a character.
+    A null text counts as empty; texts below WIDTH bytes stay whole; a text of over SEGMENT bytes is
+    read in pieces that overlap.  Of rows that repeat with one doc_id and text, ``keep="first"``
+    clears all but one; rows of one doc_id and unlike texts are in order of their texts' hashes.
+    An empty table gives no rows.  Kept bytes may be cut inside a character.  A column of docs
+    that has the name of one of the result is an error.
     """
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != "text"]
+    taken = [c for c in rest if c in TAKEN]
+    if taken:
+        raise ValueError(f"docs has columns of the result: {taken}")
     spans = repeats(docs, keep, group)
     # texts travel compressed: this shuffle is the largest
     own = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), squeezed("text").alias("z"))
     if keep == "first":
-        from pyspark.sql import Window
-
-        own = own.withColumn("nth", F.row_number().over(Window.partitionBy("id", "t").orderBy("t")))
+        own = numbered(own)
     else:
         own = own.withColumn("nth", F.lit(1))
     both = own.join(spans.toDF("sid", "st", "spans"), F.col("id").eqNullSafe(F.col("sid")) & (F.col("t") == F.col("st")), "left").select("row", "z", "nth", "spans")
@@ -461,8 +508,21 @@ def cut_repeats(docs: DataFrame, keep: str = "none", group: int = GROUP) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = both.mapInArrow(cut, f"row {both.schema['row'].dataType.simpleString()}, {RESULT}")
-    names = ["n_bytes", "n_removed", "n_spans", "kept"]
-    return out.select(*(F.col("row").getField(c).alias(c) for c in rest if c not in names), *names)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in rest), *TAKEN)
+
+
+def numbered(own: DataFrame) -> DataFrame:
+    """``own(id, t, ..)`` with nth, 1 but for the rows that repeat an id and a text hash; those are
+    told apart by their places among the rows, of which the least is 1 and the others 2."""
+    ids = own.select("id", "t")
+    again = durable(ids.groupBy("id", "t").count().where("count > 1").select(F.col("id").alias("rid"), F.col("t").alias("rt")))
+    if again.isEmpty():
+        return own.withColumn("nth", F.lit(1))
+    own = durable(own.withColumn("row_no", F.monotonically_increasing_id()))
+    least = own.join(again, F.col("id").eqNullSafe(F.col("rid")) & (F.col("t") == F.col("rt")), "left_semi").groupBy("id", "t").agg(F.min("row_no").alias("least"))
+    least = durable(least.toDF("rid", "rt", "least"))
+    both = own.join(least, F.col("id").eqNullSafe(F.col("rid")) & (F.col("t") == F.col("rt")), "left")
+    return both.select("row", "id", "t", "z", F.when(F.col("row_no") > F.col("least"), F.lit(2)).otherwise(F.lit(1)).alias("nth"))
 
 
 def digest(cut: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from lodegraph.llm import suffix
 
 
@@ -44,12 +45,25 @@ def test_brute_force_both_ways_and_crowded_anchors(spark):
 
 def test_rows_that_repeat_nulls_and_clashing_columns(spark):
     t = texts()[1]
-    docs = spark.createDataFrame([(1, t), (1, t), (None, t), (2, None), (3, "short")], "doc_id long, text string").selectExpr("*", "5 as h", "'q' as kept", "7 as t", "9 as u")
+    docs = spark.createDataFrame([(1, t), (1, t), (None, t), (2, None), (3, "short")], "doc_id long, text string").selectExpr("*", "5 as h", "'q' as row", "7 as t", "9 as u")
     first = suffix.cut_repeats(docs, "first")
     assert sorted(len(r.kept) for r in first.collect()) == [0, 0, 0, 5, len(t.encode())]
-    assert first.columns == ["doc_id", "h", "t", "u", "n_bytes", "n_removed", "n_spans", "kept"]
+    assert first.columns == ["doc_id", "h", "row", "t", "u", "n_bytes", "n_removed", "n_spans", "kept"]
     assert sorted(r.n_removed for r in suffix.cut_repeats(docs).collect()) == [0, 0] + 3 * [len(t.encode())]
     assert suffix.cut_repeats(docs.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        suffix.cut_repeats(docs.withColumnRenamed("h", "kept"))
+
+
+def test_contexts_that_repeat_go_through_the_factor_step(spark):
+    """An exact copy is marked by the suffix array: without _mark nothing is."""
+    t = texts()[1]
+    docs = spark.createDataFrame([(1, t), (2, t), (3, texts()[-2])], "doc_id long, text string")
+    own = docs.selectExpr("doc_id", "xxhash64(text) as t", "text")
+    found = suffix.occurrences(own, 64)
+    got = suffix.marks(found).collect()
+    assert got and all(r.other == b"" and r.later == b"" and r.before is None for r in got if r["first"].doc_id == 1)
+    assert {(r.h, r.c) for r in got} <= {(r.h, r.c) for r in found.collect()}
 
 
 def test_long_texts_come_in_pieces(monkeypatch):
@@ -68,7 +82,7 @@ def test_longest_factors_follow_their_definition():
     data = np.frombuffer(b"abcabcabcxabcab" * 3, np.uint8)
     depth = 7
     starts = np.arange(len(data) - depth + 1)
-    earlier, later = suffix.factors(suffix.suffix_ranks(data, depth), starts)
+    earlier, later = suffix.factors(suffix.suffix_ranks(data, depth)[starts], starts)
     words = [data[i : i + depth].tobytes() for i in starts]
     assert list(earlier) == [w in words[:i] for i, w in enumerate(words)]
     assert list(later) == [w in words[i + 1 :] for i, w in enumerate(words)]

@@ -23,6 +23,11 @@ def model():
     return sentencepiece.SentencePieceProcessor(model_file=counting.MODEL)
 
 
+@pytest.fixture(scope="module")
+def counter():
+    return counting.PieceCounts(counting.MODEL)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "null id"), (3, "again")]
@@ -74,5 +79,17 @@ def test_counts_match_the_library(docs, model):
 
 @settings(max_examples=400, deadline=None)
 @given(text)
-def test_counts_match_on_any_text(model, x):
-    assert counting.piece_counts(counting.MODEL).totals([x]) == [len(model.encode(x))]
+def test_counts_match_on_any_text(model, counter, x):
+    found = counting.pretokens(x)
+    pieces = counter.count(list(found)) if found else []
+    assert sum(n * k for n, k in zip(found.values(), pieces, strict=True)) == len(model.encode(x))
+
+
+def test_each_pretoken_is_counted_once_and_joined(spark, docs):
+    """Every block has its own words; the words of all are distinct before pieces are counted."""
+    blocks = counting.frequencies(docs.repartition(3), block=64)
+    assert blocks.count() > 3
+    words = blocks.selectExpr("explode(words) as word")
+    once = [r.word for r in counting.piece_counts(words).collect()]
+    assert len(once) == len(set(once)) and set(once) == {r.word for r in words.collect()}
+    assert sorted(counting.token_counts(docs, block=64).collect(), key=str) == sorted(counting.token_counts(docs).collect(), key=str)
