@@ -2,14 +2,15 @@
 
 Bytes (A-Z lower-cased) are embedded, filters of widths 2, 3 and 4 slide over windows of
 ``WINDOW`` positions, each filter keeps its maximum, and a softmax layer turns the maxima
-into classes.  The network is trained here, in numpy, on at most ``SAMPLE`` labelled
-texts: one slice of ``SLICE`` characters each, at a place drawn by the hash of its doc_id.
+into classes.  The network is trained here, in numpy, on windows of at most ``SAMPLE`` labelled
+texts: of each text ``EACH_TEXT`` windows, drawn by hash from all that tile it, or all.
 A text is scored whole: its windows tile it, and the mean of their logits, weighted by
 their lengths, gives its classes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,18 +18,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
-from .blocks import LOWER, text_blocks
+from .blocks import LOWER, mix, small_batches, text_blocks
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 EACH = 8
 DIMS = 8
 SAMPLE = 12_000
-SLICE = 512
+#: Windows of a text to learn from.
+EACH_TEXT = 4
 EPOCHS = 4
 WIDE = max(WIDTHS)
+#: Bytes of text tiled at a time; whole windows.
+PIECE = 1 << 18
+U = np.uint64
 UNKNOWN = "und"
 RESULT = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
 
@@ -72,12 +77,51 @@ def tiled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return windows, text, np.clip(offsets[text + 1] - start, 1, WINDOW)
 
 
+def tiles(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The windows of a block; those of a text of over PIECE bytes come in pieces."""
+    if len(data) <= PIECE or len(offsets) > 2:
+        yield tiled(data, offsets)
+        return
+    for at in range(0, len(data), PIECE):
+        piece = data[at : at + PIECE + WIDE - 1]
+        n = -(-min(PIECE, len(data) - at) // WINDOW)
+        windows, own, size = tiled(piece, np.array([0, len(piece)]))
+        yield windows[:n], own[:n], size[:n]
+
+
+@F.arrow_udf(BinaryType())
+def drawn(text: pa.Array, key: pa.Array) -> pa.Array:
+    """EACH_TEXT windows of each text, or all, drawn by ``key`` from those that tile it whole."""
+    out = []
+    keys = key.to_numpy(zero_copy_only=False).view(U)
+    for lo, hi, data, offsets in text_blocks(text, PIECE):
+        held: list[list[tuple[int, bytes]]] = [[] for _ in range(hi - lo)]
+        nth = 0
+        for windows, own, _ in tiles(data, offsets):
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            at = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own)))) + nth
+            rank = mix(keys[lo:hi][own] + at.astype(U) * U(0x9E3779B97F4A7C15))
+            for i, (a, b) in enumerate(zip(first, np.append(first[1:], len(own)), strict=True)):
+                best = np.argsort(rank[a:b])[:EACH_TEXT] + a
+                held[own[first[i]]] += [(int(rank[j]), windows[j].tobytes()) for j in best]
+            nth += len(own)
+        out += [b"".join(w for _, w in sorted(x)[:EACH_TEXT]) for x in held]
+    return pa.array(out, pa.binary())
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
 
 
 def train(texts: list[str], langs: list[str], seed: int = 0, epochs: int = EPOCHS) -> Network:
+    """A network from all windows of the texts."""
+    raw = [x.encode() for x in texts]
+    windows, text, _ = tiled(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return fit(windows, [langs[i] for i in text], seed, epochs)
+
+
+def fit(windows: np.ndarray, langs: list[str], seed: int = 0, epochs: int = EPOCHS) -> Network:
     """Adam on the cross entropy of single windows; classes weigh alike."""
     rng = np.random.default_rng(seed)
     classes = sorted(set(langs))
@@ -95,9 +139,7 @@ def train(texts: list[str], langs: list[str], seed: int = 0, epochs: int = EPOCH
     net = Network(classes, p["embed"], p["filters"], p["bias"], p["out"], p["out_bias"])
     if len(classes) < 2:
         return net
-    raw = [x.encode() for x in texts]
-    windows, text, _ = tiled(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    y = np.searchsorted(classes, langs)[text]
+    y = np.searchsorted(classes, langs)
     weight = (len(y) / len(classes) / np.maximum(np.bincount(y, minlength=len(classes)), 1))[y]
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     epochs = max(epochs, min(30, 400_000 // max(1, len(y))))
@@ -136,13 +178,13 @@ def classify(net: Network, text: pa.Array) -> pa.StructArray:
     n = len(text)
     total = np.zeros((n, max(1, len(net.classes))))
     weight = np.zeros(n)
-    for lo, hi, data, offsets in text_blocks(text, 1 << 20):
-        windows, own, size = tiled(data, offsets)
-        for at in range(0, len(own), 512):
-            z = net.logits(windows[at : at + 512]) * size[at : at + 512, None]
-            rows = own[at : at + 512] + lo
-            np.add.at(total, rows, z)
-            np.add.at(weight, rows, size[at : at + 512])
+    for lo, _, data, offsets in text_blocks(text, PIECE):
+        for windows, own, size in tiles(data, offsets):
+            for at in range(0, len(own), 512):
+                z = net.logits(windows[at : at + 512]) * size[at : at + 512, None]
+                rows = own[at : at + 512] + lo
+                np.add.at(total, rows, z)
+                np.add.at(weight, rows, size[at : at + 512])
     p = softmax(total / np.maximum(weight, 1)[:, None])
     lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False) & bool(net.classes)
     best = p.argmax(1)
@@ -156,7 +198,8 @@ def held_out() -> Column:
 
 
 def shares(counts: dict[str, int], sample: int) -> dict[str, int]:
-    """How many of each language's rows to take: all have the same, what one lacks goes to the others."""
+    """How many each
+    language's rows to take: all have the same, what one lacks goes to the others."""
     out, left = {}, sample
     for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
         out[lang] = min(n, max(1, left // (len(counts) - i)))
@@ -173,18 +216,20 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Network:
     if not counts:
         return train([], [])
     need = shares(counts, sample)
-    # the least hashes lie below a bound, so that few rows are ranked
+    # the least hashes lie below a bound, so that few rows are ranked and opened
     bound = {lang: min(2**63 - 1, (2 * n + 64) * 2**64 // counts[lang] - 2**63) for lang, n in need.items()}
     wanted = F.broadcast(spark.createDataFrame([(x, need[x], bound[x]) for x in need], "lang string, need long, bound long"))
-    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SLICE + 1, F.lit(1))).cast("int") + 1
-    slices = known.select("lang", F.substring(F.col("text"), place, F.lit(SLICE)).alias("part"), F.xxhash64("doc_id").alias("at"), F.col("doc_id").alias("id"))
+    rows = known.select("lang", "text", F.xxhash64("doc_id").alias("at"), F.col("doc_id").alias("id"))
+    low = rows.join(wanted, "lang").where("at <= bound").select("lang", "need", "at", "id", drawn("text", "at").alias("part"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id", "part"))
-    rows = slices.join(wanted, "lang").where("at <= bound").withColumn("nth", nth).where("nth <= need").orderBy("at", "id", "part", "lang").select("lang", "part").collect()
-    missing = sorted(set(need) - {r["lang"] for r in rows})  # rows of one repeated id, over the bound
+    found = low.withColumn("nth", nth).where("nth <= need").orderBy("at", "id", "part", "lang").select("lang", "part").collect()
+    missing = sorted(set(need) - {r["lang"] for r in found})  # rows of one repeated id, over the bound
     if missing:
-        first = slices.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.struct("at", "id", "part")).alias("r"))
-        rows += first.select("lang", "r.part").orderBy("lang").collect()
-    return train([r["part"] for r in rows], [r["lang"] for r in rows])
+        least = rows.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min(F.struct("at", "id", "text")).alias("r"))
+        found += least.select("lang", drawn("r.text", "r.at").alias("part")).orderBy("lang").collect()
+    width = WINDOW + WIDE - 1
+    windows = np.frombuffer(b"".join(r["part"] for r in found), np.uint8).reshape(-1, width)
+    return fit(windows, [r["lang"] for r in found for _ in range(len(r["part"]) // width)])
 
 
 def predicted(docs: DataFrame, net: Network) -> Column:
@@ -195,9 +240,13 @@ def predicted(docs: DataFrame, net: Network) -> Column:
 def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of ``docs(doc_id, text, lang)``.
 
-    Null and letterless texts are ``und`` with score 0; so is every text when nothing could be
-    learned.  A row with a null doc_id is neither learned from nor held out.
+    Null, empty and letterless texts are ``und`` with score 0; so is every text when nothing could be
+    learned.  A row with a null doc_id is neither learned from nor held out; rows that repeat are
+    rows of their own, learned from and answered one by one; of languages that score alike the
+    first by name is given.  A text is read whole, in pieces if long; an empty table gives no rows;
+    other columns, whatever their names, are not read.
     """
+    small_batches(docs.sparkSession)
     net = net or learn(docs)
     return docs.select("doc_id", held_out().alias("held_out"), predicted(docs, net).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, Rolling, counted, durable, found, mix, packed, text_blocks, words_of
+from .blocks import LOWER, Rolling, counted, durable, found, mix, packed, small_batches, text_blocks, words_of
 
 FILTER_BITS = 1 << 30
 WORDS = 1 << 23
@@ -330,7 +330,13 @@ def fitted(docs: DataFrame, filter_bits: int = FILTER_BITS, words: int = WORDS)
 
 def scored(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of
-    ``docs(doc_id, text)``; rows are taken as they come, other columns are not read."""
+    ``docs(doc_id, text)``.
+
+    Null is the empty text: one end.  Rows are taken as they come, repeated or without a doc_id; an
+    empty table gives no rows; texts of any length are read whole; other columns, whatever their
+    names, are not read.
+    """
+    small_batches(docs.sparkSession)
     model = model or fitted(docs)
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
-from .blocks import LOWER, Rolling, counted, text_blocks, words_of
+from .blocks import LOWER, Rolling, counted, small_batches, text_blocks, words_of
 
 WORDS = 1 << 14
 RANK = 8
@@ -167,16 +167,17 @@ def held_out() -> Column:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine from the labelled rows that are not held out; of more than ``sample``, those
     with the least hashes of doc_id.  The sample bounds what is broadcast and collected."""
-    chosen = (
-        labels.where("quality is not null and crc32(cast(doc_id as string)) % 5 <> 0")
-        .select(F.col("doc_id").alias("id"), "quality").orderBy(F.xxhash64("doc_id"), "id", "quality").limit(sample)
-    )
+    known = labels.where("quality is not null and crc32(cast(doc_id as string)) % 5 <> 0").select(F.col("doc_id").alias("id"), "quality", F.xxhash64("doc_id").alias("at"))
+    # the least hashes lie below a bound: each task sends few rows, however many there are
+    n = known.agg(F.count_distinct("id")).head()[0]
+    low = known.where(F.col("at") <= min(2**63 - 1, (2 * sample + 64) * 2**64 // max(n, 1) - 2**63)).distinct()
+    chosen = low.orderBy("at", "id", "quality").limit(sample).select("id", "quality")
     rows = (
         docs.select("doc_id", "text", stated(docs).alias("stated"))
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
         .select(inputs_udf("text", "stated").alias("f"), "quality", F.xxhash64("doc_id").alias("at"), "id")
         .orderBy("at", "id", F.xxhash64("f"), "quality").limit(sample).collect()
-    )
+    )  # fmt: skip  # rows below the bound only: the sample, and the repeats of its ids
     return train([(r["f"]["at"], r["f"]["x"], r["f"]["stats"], int(r["quality"] > 0)) for r in rows])
 
 
@@ -193,8 +194,12 @@ def classify(docs: DataFrame, labels: DataFrame, machine: Machine | None = None)
     """doc_id, held_out, score and predicted of each row of ``docs(doc_id, text[, n_chars])``.
 
     Null and empty texts have the score of their statistics, all zero; without labels every
-    score is 1/2.  A row with a null doc_id is neither learned from nor held out.
+    score is 1/2.  A row with a null doc_id is neither learned from nor held out.  A label that
+    repeats counts once, unlike labels of one document each; rows that repeat are scored one by
+    one.  Texts of any length are read whole; an empty table gives no rows; other columns,
+    whatever their names, are not read.
     """
+    small_batches(docs.sparkSession)
     machine = machine or learn(docs, labels)
     out = docs.select("doc_id", held_out().alias("held_out"), score(docs, machine).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= LEAST).cast("int"))

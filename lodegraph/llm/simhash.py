@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .blocks import LOWER, durable
+from .blocks import LOWER, durable, small_batches
 from .components import components
 
 TAU = 4
@@ -298,6 +298,7 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, tau: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = durable(docs.select("doc_id", fingerprint_udf("text").alias("fp")))
     return rows.join(classes(rows, tau), "fp")
 

@@ -1,11 +1,11 @@
 """Exact top-k inner products by Fagin's threshold algorithm over sorted lists.
 
-Candidates are packed into blocks as they are read, queries into blocks of their own, and
-every query block meets every candidate block.  A candidate block holds one sorted list of
+Queries are broadcast, in slices of at most ``SLICE_BYTES``, to the partitions of the candidates,
+which are packed into blocks as they are read.  A candidate block holds one sorted list of
 its vectors per dimension.  For a query the lists are read in step, each from the end that
 adds most to the score; what turns up is scored in full, and reading stops when the bound,
-the score of a vector made of the values reached so far, is below the kth result.  Blocks
-give k rows a query, which a grouped top-k brings together.
+the score of a vector made of the values reached so far, is below the kth result of all blocks
+of the partition so far.  Partitions give k rows a query, which a grouped top-k brings together.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .blocks import durable
 
 QUERY_BLOCK = 256
+#: Bytes of query vectors broadcast at a time; more take further passes over the candidates.
+SLICE_BYTES = 32 << 20
 BLOCK = 8192
 FIRST_DEPTH = 16
 SCALE = 256
@@ -70,14 +72,16 @@ class Lists:
         self.ids, self.v = ids, vectors
         self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(vectors.T, self.order, 1)
+        self.scored = 0  # rows, over all queries
 
-    def top(self, own_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best by score, then smaller id; rows with own_id take no part."""
+    def top(self, own_id: int, q: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best by score, then smaller id, of this block and of ``best``, those of
+        earlier ones; rows with own_id take no part."""
         n = len(self.ids)
         seen = self.ids == own_id
         used = np.flatnonzero(q)  # a list of weight 0 adds nothing, wherever it is read
         falling = q[used] > 0
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0, q.dtype)
+        best_i, best_s = best or (np.zeros(0, np.int64), np.zeros(0, q.dtype))
         done, depth = 0, FIRST_DEPTH
         while True:
             depth = min(depth, n)
@@ -90,6 +94,7 @@ class Lists:
             else:
                 rows, depth = np.flatnonzero(~seen), n
             seen[rows] = True
+            self.scored += len(rows)
             i, s = np.concatenate((best_i, self.ids[rows])), np.concatenate((best_s, self.v[rows] @ q))
             if len(s) > 4 * k:
                 cut = np.partition(s, len(s) - k)[len(s) - k]
@@ -109,45 +114,79 @@ def unpacked(dims: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndar
     return i, np.frombuffer(vectors, "<i8").reshape(len(i), dims)
 
 
-def nearest(docs: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def slices(asked: DataFrame, most: int) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Query blocks (number of the first query, dims, ids, vectors), up to ``most`` bytes at a time."""
+    held, size, number = [], 0, 0
+    for r in asked.toLocalIterator():
+        ids, v = unpacked(r["dims"], bytes(r["ids"]), bytes(r["vectors"]))
+        if held and size + v.nbytes > most:
+            yield held
+            held, size = [], 0
+        held.append((number, r["dims"], ids, v))
+        number += len(ids)
+        size += v.nbytes
+    if held:
+        yield held
+
+
+def _searched(stored: DataFrame, asked: list[tuple[int, int, np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """(q, query_id, vec_id, score): the k best of each partition of candidates for each query."""
+    held = stored.sparkSession.sparkContext.broadcast(asked)
+    largest = lambda x: float(np.abs(x.astype(float)).max(initial=0))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        tops = [largest(v) for _, _, _, v in held.value]
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dims = batch.column("dims")[r].as_py()
+                ids, v = unpacked(dims, *(batch.column(c)[r].as_py() for c in ("ids", "vectors")))
+                most, made = largest(v), {}
+                for (number, own, q_ids, q), top in zip(held.value, tops, strict=True):
+                    if own != dims:
+                        continue
+                    kind = float if top * most * max(1, dims) < EXACT else np.int64
+                    if kind not in made:
+                        made[kind] = Lists(ids, v.astype(kind))
+                    for j, (i, x) in enumerate(zip(q_ids, q.astype(kind), strict=True), number):
+                        found_i, found_s = made[kind].top(i, x, k, best.get(j))
+                        best[j] = found_i, found_s.astype(np.int64)  # whole in a double
+        for number, _, q_ids, _ in held.value:
+            own = [best.get(j) or (np.zeros(0, np.int64), np.zeros(0, np.int64)) for j in range(number, number + len(q_ids))]
+            sizes = [len(i) for i, _ in own]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(np.arange(number, number + len(own)), sizes)), pa.array(np.repeat(q_ids, sizes)),
+                pa.array(np.concatenate([i for i, _ in own])), pa.array(np.concatenate([s for _, s in own])),
+            ], names=["q", "query_id", "vec_id", "score"])
+
+    return stored.mapInArrow(search, "q long, query_id long, vec_id long, score long")
+
+
+def nearest(docs: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK, most: int = SLICE_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of ``docs(vec_id, embedding)`` of highest
     inner product with each row of ``queries``, ties to the smaller vec_id.
 
     Vectors that are null or hold a null or non-finite component, and rows without an id, take
     no part; vectors meet those of their own length only.  Rows with the query's vec_id are not
     its candidates.  A repeated query row has results of its own; a repeated candidate counts as
-    often as it is there.  Sums beyond 2**53 are taken in 64-bit integers, which wrap.
+    often as it is there.  Sums beyond 2**53 are taken in 64-bit integers, which wrap.  Empty tables
+    of either kind give no rows; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    asked = durable(packs(whole(queries), query_block).withColumn("b", F.expr("uuid()")))
-    names = [r["b"] for r in asked.select("b").collect()]  # one a query block
-    if not names:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    number = {b: j for j, b in enumerate(sorted(names))}
-    numbered = F.udf(lambda b: number[b], "int")
-    asked = asked.select(numbered("b").alias("b"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asked = durable(packs(whole(queries), query_block))
     stored = packs(whole(docs), block)
-    met = stored.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))).join(asked, "b").where("dims = q_dims")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[bytes, Lists] | None = None
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].as_py() for c in ("b", "dims", "ids", "vectors", "q_ids", "q_vectors")}
-                q_ids, q = unpacked(row["dims"], row["q_ids"], row["q_vectors"])
-                ids, v = unpacked(row["dims"], row["ids"], row["vectors"])
-                top = lambda x: float(np.abs(x.astype(float)).max(initial=0))
-                kind = float if top(q) * top(v) * max(1, row["dims"]) < EXACT else np.int64
-                if kept is None or kept[0] != row["vectors"] or kept[1].v.dtype != kind:
-                    kept = row["vectors"], Lists(ids, v.astype(kind))
-                out = [kept[1].top(i, x, k) for i, x in zip(q_ids, q.astype(kind), strict=True)]
-                sizes = [len(i) for i, _ in out]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(row["b"] * 2**20 + np.arange(len(out)), sizes)), pa.array(np.repeat(q_ids, sizes)),
-                    pa.array(np.concatenate([i for i, _ in out])), pa.array(np.concatenate([s for _, s in out]).astype(np.int64)),
-                ], names=["q", "query_id", "vec_id", "score"])
-
-    each = met.mapInArrow(search, "q long, query_id long, vec_id long, score long")
+    each: DataFrame | None = None
+    parts = slices(asked, most)
+    part = next(parts, None)
+    while part is not None:
+        after = next(parts, None)
+        own = _searched(stored, part, k)
+        if each is not None or after is not None:
+            own = durable(own)  # one slice is broadcast at a time
+        each = own if each is None else each.union(own)
+        part = after
+    if each is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

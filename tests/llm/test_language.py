@@ -69,3 +69,21 @@ def test_a_rare_language_is_learned(spark):
 def test_rows_stay_without_languages(docs):
     kept = language.keep_identified(docs.withColumn("lang", language.F.lit(None).cast("string")))
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3  # null, empty and letterless
+
+
+def test_windows_to_learn_from_are_drawn_over_whole_texts(spark, monkeypatch):
+    long = "".join(f"{i:07d} " for i in range(200_000))  # longer than a piece
+    docs = spark.createDataFrame([(i, long) for i in range(12)] + [(99, "short"), (100, "")], "doc_id long, text string")
+    got = docs.select("doc_id", language.drawn("text", language.F.xxhash64("doc_id")).alias("w")).collect()
+    width = language.WINDOW + language.WIDE - 1
+    at = [int(bytes(r.w)[i : i + 7]) for r in got if r.doc_id < 99 for i in range(0, len(r.w), width)]
+    assert len(at) == 12 * language.EACH_TEXT and min(at) < 50_000 and max(at) > 150_000
+    assert [len(r.w) for r in got if r.doc_id >= 99] == [width, width]
+
+
+def test_long_texts_are_tiled_in_pieces_alike(monkeypatch):
+    raw = np.frombuffer(bytes(np.random.default_rng(0).integers(1, 255, 5000).astype(np.uint8)), np.uint8)
+    want = language.tiled(raw, np.array([0, 5000]))
+    monkeypatch.setattr(language, "PIECE", 1024)
+    got = [np.concatenate(x) for x in zip(*language.tiles(raw, np.array([0, 5000])))]
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))

@@ -24,7 +24,7 @@ def test_against_brute_force(spark, block):
     rows += [(2000, [0.0] * 6), (2050, [-1.0] * 6), (2100, [3e5] * 6)]  # no list matters; no positive list; large sums
     rows += [(3000, None), (3050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (3100, [float("nan")] * 6), (3150, [float("inf")] * 6), (3200, [1.0, 2.0]), (3250, []), (None, [1.0] * 6), (7, rows[7][1])]
     docs = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, query_id string").repartition(4)
-    got = topk.nearest(docs, docs.where("vec_id % 50 = 0"), 5, block, 3)
+    got = topk.nearest(docs, docs.where("vec_id % 50 = 0"), 5, block, 3, 1 << 20 if block == 64 else 100)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(tuple(r) for r in got.collect()) == brute([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows], lambda i: i % 50 == 0, 5)
 
@@ -36,6 +36,20 @@ def test_early_stop_reads_little():
     own = topk.Lists(np.arange(4000), v)
     ids, _ = own.top(-1, np.ones(8), 2)
     assert ids.tolist() == [17, 23]
+    assert own.scored < 200  # of 4,000
+    later = topk.Lists(np.arange(4000, 8000), rng.normal(0, 1, (4000, 8)))
+    ids, _ = later.top(-1, np.ones(8), 2, (np.array([17, 23]), np.array([400.0, 400.0])))
+    assert ids.tolist() == [17, 23] and later.scored < 200  # the bound of earlier blocks stops it
+
+
+def test_pipeline_query_shape(spark):
+    """The registered query gives whole results through the operator."""
+    from lodegraph.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want = brute([(i, [np.float32(x) for x in v]) for i, v in rows], lambda i: i % 50 == 0, 5)
+    assert sorted(tuple(r) for r in queries.op7_exact_top_k(spark, sf).collect()) == want
 
 
 def test_empty_tables(spark):
