@@ -6,10 +6,11 @@ counts add up.
 
 1. Blocks of texts become frequencies: a block's distinct pre-tokens, and for each of its
    texts the numbers of those it has and how often.
-2. The pre-tokens of all blocks are made distinct, and the pieces of each are counted once.
-3. The counts are joined to the pre-tokens of the blocks, a row for each block that has one, so
-   that a frequent pre-token is as many rows as there are blocks, not as there are texts.
-4. A block's counts come together and are summed, times their frequencies, over its texts.
+2. A block's pre-tokens are dealt to buckets by their hashes, a row for each block and bucket, so
+   that a frequent pre-token is as many entries as there are blocks, not as there are texts.
+   A bucket has all entries of its pre-tokens: the pieces of each are counted once, and the
+   counts go back to the blocks.
+3. A block's counts are joined to its frequencies and summed over its texts.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, pairwise
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +34,7 @@ from .blocks import durable, kept, release, small_batches, utf8
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIMIT = 4096
 #: Bytes of text in one block; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 #: Texts beyond this many characters are split one pre-token at a time.
 LONG = 1 << 20
 PRETOKEN = re.compile(r"\n[^ \n]*| +[^ \n]*")
@@ -67,65 +70,113 @@ def pretokens(text: str) -> Counter[str]:
     return Counter(PRETOKEN.findall(text) if len(text) < LONG else (m.group() for m in PRETOKEN.finditer(text)))
 
 
-def frequencies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(block, doc_ids, n_bytes, edges, at, n, words): the texts of a block, and of each text, between
-    two edges, the places in words of its pre-tokens and their frequencies."""
+def frequencies(docs: DataFrame, buckets: int, block: int = BLOCK) -> DataFrame:
+    """(block, doc_ids, n_bytes, edges, at, n, parts): the texts of a block; of each text, between two
+    edges, the numbers of its pre-tokens, as differences, and their frequencies; and for each
+    bucket the numbers, lengths and characters of the block's pre-tokens."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held, size = TaskContext.get().partitionId() << 32, [], 0
-        numbers = count(task)
+        numbers = count(TaskContext.get().partitionId() << 32)
+        held = Block()
         for batch in batches:
             _, offsets = utf8(batch.column("text"))
-            for r, text in enumerate(batch.column("text").fill_null("").to_pylist()):
-                held.append((batch.column("doc_id")[r].as_py(), int(offsets[r + 1] - offsets[r]), text))
-                size += held[-1][1]
-                if size >= block:
-                    yield packed(next(numbers), held)
-                    held, size = [], 0
-        if held:
-            yield packed(next(numbers), held)
+            for i, n, text in zip(batch.column("doc_id"), np.diff(offsets).tolist(), batch.column("text"), strict=True):
+                held.add(i.as_py(), n, text.as_py() or "")
+                if held.size >= block:
+                    yield held.row(next(numbers), buckets)
+                    held = Block()
+        if held.doc_ids:
+            yield held.row(next(numbers), buckets)
         release()
 
-    def packed(number: int, held: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
-        words: defaultdict[str, int] = defaultdict(count().__next__)
-        at, n, edges = [], [], [0]
-        for _, _, text in held:
-            own = pretokens(text)
-            at.append(np.fromiter(map(words.__getitem__, own), "<i4", len(own)))
-            n.append(np.fromiter(own.values(), "<i4", len(own)))
-            edges.append(edges[-1] + len(own))
+    return docs.select("doc_id", "text").mapInArrow(gather, "block long, doc_ids array<long>, n_bytes array<long>, edges binary, at binary, n binary, parts array<struct<bucket:int,places:binary,sizes:binary,words:binary>>")
+
+
+class Block:
+    """Texts as they come: their pre-tokens' numbers, ascending, and frequencies."""
+
+    def __init__(self) -> None:
+        self.words: defaultdict[str, int] = defaultdict(count().__next__)
+        self.doc_ids: list[int | None] = []
+        self.n_bytes: list[int] = []
+        self.at: list[np.ndarray] = []
+        self.n: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, n_bytes: int, text: str) -> None:
+        own = pretokens(text)
+        at = np.fromiter(map(self.words.__getitem__, own), "<i4", len(own))
+        order = np.argsort(at)
+        self.doc_ids.append(doc_id)
+        self.n_bytes.append(n_bytes)
+        self.at.append(at[order])
+        self.n.append(np.fromiter(own.values(), "<i4", len(own))[order])
+        self.size += n_bytes
+
+    def row(self, number: int, buckets: int) -> pa.RecordBatch:
+        edges = np.cumsum([0, *map(len, self.at)]).astype("<i8")
+        steps = np.diff(np.concatenate(self.at), prepend=np.int32(0))  # small, so that they compress
+        words = list(self.words)
+        own = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+        dealt = np.argsort(own, kind="stable")
+        parts = []
+        for at in np.split(dealt, np.flatnonzero(np.diff(own[dealt])) + 1) if words else []:
+            held = [words[i] for i in at.tolist()]
+            sizes = np.fromiter(map(len, held), "<i4", len(held))
+            parts.append({"bucket": int(own[at[0]]), "places": squeeze(np.diff(at, prepend=0).astype("<i4")), "sizes": squeeze(sizes), "words": ZSTD.compress("".join(held).encode())})
+        cols = [pa.array([squeeze(x)], pa.binary()) for x in (edges, steps, np.concatenate(self.n))]
+        kind = pa.list_(pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())]))
         return pa.RecordBatch.from_arrays([
-            pa.array([number]), pa.array([[i for i, _, _ in held]], pa.list_(pa.int64())), pa.array([[x for _, x, _ in held]], pa.list_(pa.int64())),
-            *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(edges, "<i8"), np.concatenate(at), np.concatenate(n))), pa.array([list(words)], pa.list_(pa.string())),
-        ], names=["block", "doc_ids", "n_bytes", "edges", "at", "n", "words"])
+            pa.array([number]), pa.array([self.doc_ids], pa.list_(pa.int64())), pa.array([self.n_bytes], pa.list_(pa.int64())), *cols, pa.array([parts], kind),
+        ], names=["block", "doc_ids", "n_bytes", "edges", "at", "n", "parts"])
 
-    return docs.select("doc_id", "text").mapInArrow(gather, "block long, doc_ids array<long>, n_bytes array<long>, edges binary, at binary, n binary, words array<string>")
 
+ZSTD = zstandard.ZstdCompressor(level=1)
 
-def piece_counts(words: DataFrame, path: str = MODEL) -> DataFrame:
-    """(word, pieces) of the distinct pre-tokens of ``words(word)``, each counted once."""
+
+def squeeze(x: np.ndarray) -> bytes:
+    return ZSTD.compress(x.tobytes())
+
+
+def opened(x: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), kind)
+
+
+def piece_counts(parts: DataFrame, path: str = MODEL) -> DataFrame:
+    """(block, places, pieces) of the rows of ``parts(block, bucket, places, sizes, words)``: within a
+    bucket, which has all rows of its pre-tokens, each distinct one is counted once."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept("piece counts", path, PieceCounts)
+        known: dict[str, int] = {}
+        last = -1
         for batch in batches:
-            found = own.count(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.int32())], names=["word", "pieces"])
+            out = []
+            for bucket, sizes, words in zip(batch.column("bucket").to_pylist(), batch.column("sizes"), batch.column("words"), strict=True):
+                if bucket != last:
+                    known, last = {}, bucket
+                text, ends = opened(words, np.uint8).tobytes().decode(), np.cumsum(opened(sizes, "<i4")).tolist()
+                held = [text[a:b] for a, b in pairwise([0, *ends])]
+                fresh = [w for w in held if w not in known]
+                known.update(zip(fresh, own.count(fresh), strict=True))
+                out.append(squeeze(np.fromiter(map(known.__getitem__, held), "<i4", len(held))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("places"), pa.array(out, pa.binary())], names=["block", "places", "pieces"])
 
-    return words.distinct().mapInArrow(counted, "word string, pieces int")
+    return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(counted, "block long, places binary, pieces binary")
 
 
 def totals(blocks: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and n_tokens from the frequencies of blocks and ``pieces``, a list of place << 32 |
-    count for each of a block's pre-tokens."""
+    """doc_id, n_bytes and n_tokens from the frequencies of blocks and ``counts``, the places and pieces
+    of all of a block's pre-tokens."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                edges, at, n = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("edges", "<i8"), ("at", "<i4"), ("n", "<i4")))
-                own = batch.column("pieces")[r].values
-                own = own.to_numpy() if own is not None else np.zeros(0, np.int64)
-                pieces = np.zeros(len(own), np.int64)
-                pieces[own >> 32] = own & 0xFFFFFFFF
+                edges, steps, n = (opened(batch.column(c)[r], t) for c, t in (("edges", "<i8"), ("at", "<i4"), ("n", "<i4")))
+                at = np.cumsum(steps)
+                pieces = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
+                for part in batch.column("counts")[r].values or ():
+                    pieces[np.cumsum(opened(part["places"], "<i4"))] = opened(part["pieces"], "<i4")
                 run = np.concatenate(([0], np.cumsum(pieces[at] * n)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[r].values, batch.column("n_bytes")[r].values, pa.array(run[edges[1:]] - run[edges[:-1]])], names=["doc_id", "n_bytes", "n_tokens"])
 
@@ -140,9 +191,9 @@ def token_counts(docs: DataFrame, path: str = MODEL, limit: int = LIMIT, block:
     whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
-    blocks = durable(frequencies(docs, block))
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    each = words.join(piece_counts(words.select("word"), path), "word")
-    own = each.groupBy("block").agg(F.collect_list(F.shiftleft(F.col("place").cast("long"), 32) + F.col("pieces")).alias("pieces"))
-    out = totals(blocks.select("block", "doc_ids", "n_bytes", "edges", "at", "n").join(own, "block", "left"))
+    buckets = 1 << min(16, max(6, (2 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    blocks = durable(frequencies(docs, buckets, block))
+    each = piece_counts(blocks.select("block", F.inline("parts")), path)
+    own = each.groupBy("block").agg(F.collect_list(F.struct("places", "pieces")).alias("counts"))
+    out = totals(blocks.drop("parts").join(own, "block", "left"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

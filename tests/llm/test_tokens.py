@@ -87,9 +87,14 @@ def test_counts_match_on_any_text(model, counter, x):
 
 def test_each_pretoken_is_counted_once_and_joined(spark, docs):
     """Every block has its own words; the words of all are distinct before pieces are counted."""
-    blocks = counting.frequencies(docs.repartition(3), block=64)
+    blocks = counting.frequencies(docs.repartition(3), 8, block=64)
     assert blocks.count() > 3
-    words = blocks.selectExpr("explode(words) as word")
-    once = [r.word for r in counting.piece_counts(words).collect()]
-    assert len(once) == len(set(once)) and set(once) == {r.word for r in words.collect()}
+    want = set().union(*(counting.pretokens(r.text or "") for r in docs.collect()))
+    rows = blocks.select("block", counting.F.inline("parts")).collect()
+    words = []
+    for r in rows:
+        text, ends = counting.zstandard.decompress(bytes(r.words)).decode(), np.cumsum(np.frombuffer(counting.zstandard.decompress(bytes(r.sizes)), "<i4"))
+        words += [(text[a:b], r.bucket) for a, b in zip([0, *ends[:-1]], ends)]
+    assert {w for w, _ in words} == want and len(words) > len(want)  # blocks share pre-tokens
+    assert len(set(words)) == len(want)  # all entries of one are in one bucket
     assert sorted(counting.token_counts(docs, block=64).collect(), key=str) == sorted(counting.token_counts(docs).collect(), key=str)
