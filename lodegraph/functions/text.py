@@ -7,8 +7,22 @@ from pyspark.sql import functions as F
 
 #: Words that a question adds and a search leaves out.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "the", "this", "to", "we", "what", "where", "which", "who", "with"]
-#: Shapes of secrets.
-SECRET = r"(?i)(api[_-]?key|secret|password|passwd|token)\s*[:=]\s*\S{6,}|AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: Published formats of keys, each with its fixed beginning: cloud access keys, code-hosting,
+#: chat, mail, payment and map tokens, signed web tokens and private keys in text form.
+KEY_FORMATS = [
+    r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
+    r"\bgh[opsu]_[0-9A-Za-z]{36}\b",
+    r"\bglpat-[0-9A-Za-z_-]{20}\b",
+    r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
+    r"\bSG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}\b",
+    r"\bsk_live_[0-9A-Za-z]{24,}",
+    r"\bAIza[0-9A-Za-z_-]{35}\b",
+    r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
+    # any quoted literal of 32 or more letters and digits that is assigned
+    r"[=:]\s*[\x22\x27][0-9A-Za-z+/_-]{32,}[\x22\x27]",
+]
+SECRET = "|".join(KEY_FORMATS)
 
 
 def alias_key(x: Column) -> Column:

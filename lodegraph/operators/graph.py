@@ -19,7 +19,7 @@ def traverse(edges: DataFrame, origins: DataFrame, max_depth: int | None = None,
     alone is expanded, and a node is left out once it has been reached.  Without ``paths`` there is no path."""
     best = [F.min("path").alias("path")] if paths else []
     kept = ["path", "ways"] if paths else ["ways"]
-    links = edges.select("src", "dst").where("src <> dst").distinct()
+    links = settle(edges.select("src", "dst").where("src <> dst").distinct())  # read anew at each level
     start = origins.select(F.col("origin"), F.col("origin").alias("node"), F.lit(0).alias("distance"), F.array("origin").alias("path"), F.lit(1).cast("long").alias("ways")).distinct()
     seen = frontier = settle(start.select("origin", "node", "distance", *kept))
     depth = 0

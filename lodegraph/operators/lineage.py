@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A folder on this machine, for sessions whose executors run in the driver: on a cluster each
+    executor would write to a disk of its own."""
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return "file://" + tempfile.mkdtemp(prefix="lodegraph-")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -13,5 +22,5 @@ def settle(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lodegraph-"))
+        context.setCheckpointDir(named or own_folder(df.sparkSession))
     return df.checkpoint()

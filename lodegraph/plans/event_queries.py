@@ -64,7 +64,7 @@ def token_efficiency(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: Spark, sf_dir: str) -> DataFrame:
-    """Documents with the shape of a secret."""
+    """Documents that hold a key of a published format; letters count as they are."""
     return table(spark, sf_dir, "documents").where(F.col("text").rlike(SECRET)).select("doc_id")
 
 
@@ -94,7 +94,7 @@ ORACLE_SQL = {
         SELECT event_type, CASE WHEN ts IS NULL OR ttl IS NULL THEN 'unknown' WHEN epoch_us(now_) > epoch_us(ts) + CAST(ttl AS BIGINT) * 1000000 THEN 'stale' ELSE 'fresh' END AS status, count(*) AS n FROM f GROUP BY 1, 2""",
     "token_efficiency": """WITH d AS (SELECT source, CAST(ceil(length(text) / 4) AS BIGINT) AS t FROM documents), s AS (SELECT source, sum(t) AS corpus, sum(CASE WHEN t <= 500 THEN t ELSE 0 END) AS read FROM d GROUP BY 1)
         SELECT source, corpus, read, greatest(corpus - read, 0) AS avoided, round(corpus / nullif(read, 0), 2) AS ratio FROM s""",
-    "secret_scan": r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(api[_-]?key|secret|password|passwd|token)\s*[:=]\s*\S{6,}') OR regexp_matches(text, 'AKIA[0-9A-Z]{16}') OR regexp_matches(text, '(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '(?i)AKIA[0-9A-Z]{16}')""",
+    "secret_scan": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{SECRET}')",
     "precision_recall": """WITH d AS (SELECT lang, length(text) >= 1000 AS yes, quality = 1 AS good FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL),
         c AS (SELECT lang, count(*) FILTER (WHERE yes AND good) AS tp, count(*) FILTER (WHERE yes AND NOT good) AS fp, count(*) FILTER (WHERE NOT yes AND good) AS fn, count(*) FILTER (WHERE NOT yes AND NOT good) AS tn FROM d GROUP BY 1)
         SELECT *, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall FROM c""",

@@ -43,7 +43,7 @@ def attribute_conflicts(spark: Spark, sf_dir: str) -> DataFrame:
 def proof_upsert(spark: Spark, sf_dir: str) -> DataFrame:
     """The first order of each customer."""
     own = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
-    return merge.first_by(own, ["o_custkey"], "o_orderkey").join(own.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_order")), "o_custkey")
+    return merge.first_by(own, ["o_custkey"], "o_orderkey").withColumn("first_order", F.col("o_orderkey"))
 
 
 def severity_counts(spark: Spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,11 +12,12 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.changes import keyed_diff
+from ..operators.lineage import own_folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the one of ``spark.checkpoint.dir``; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodegraph-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
