@@ -239,7 +239,7 @@ class Model:
 
 def learn(docs: DataFrame, filter_bits: int = FILTER_BITS, words: int = WORDS) -> Model:
     """Counts of all rows of ``docs(text)``; null is the empty text."""
-    buckets = 1 << min(16, max(6, (2 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    buckets = 1 << min(16, max(8, (8 * docs.rdd.getNumPartitions() - 1).bit_length()))  # a bucket is merged in one go
     table = durable(counts(docs, buckets))
     total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("items"), F.lit(0)), F.coalesce(F.max("items"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).head()
     size = max(64, -(-int(total[3]) * ITEM_BITS // 64) * 64)  # segments are alike: hashes deal them evenly
