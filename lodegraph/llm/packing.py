@@ -51,7 +51,7 @@ class WordIds:
         if len(self.known) + len(fresh) > CACHE:
             self.older, self.known, fresh = self.known, {"": b""}, words
         new = []
-        for w in sorted(fresh):
+        for w in fresh:  # in any order: words are encoded apart
             ids = self.older.get(w)
             if ids is None:
                 new.append(w)
