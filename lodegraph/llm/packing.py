@@ -24,7 +24,7 @@ from .blocks import LOWER, durable, kept, small_batches, text_blocks
 LIMIT = 4096
 PATTERNS = 8192
 END_ID = 1
-CACHE = 200_000
+CACHE = 400_000
 RANKED = 200_000
 _LOWER = LOWER.tobytes()
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
