@@ -35,9 +35,9 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
     # in a struct, no column clashes with those of the result
     own = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in names)).alias("_row"))
-    cut = suffix.cut_repeats(own, keep="first")
+    cut = suffix.cut_repeats(own, keep="first", text=True)
     fields = [F.col("_row").getField(c).alias(c) for c in names]
-    out = cut.select(*fields, suffix.readable("kept").alias("text"))
+    out = cut.select(*fields, F.col("kept").alias("text"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -68,6 +68,11 @@ def kept(kind: str, path: str, make: Callable[[str], T]) -> T:
     return _KEPT[kind, path]  # type: ignore[return-value]
 
 
+def unkept() -> None:
+    """Drop what ``kept`` holds: for operators that need no tables of their own."""
+    _KEPT.clear()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage that a
     lost executor does not undo.  The files go when the application ends."""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
-from .blocks import LOWER, mix, small_batches, text_blocks
+from .blocks import LOWER, mix, small_batches, text_blocks, unkept
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -175,6 +175,7 @@ def fit(windows: np.ndarray, langs: list[str], seed: int = 0, epochs: int = EPOC
 
 def classify(net: Network, text: pa.Array) -> pa.StructArray:
     """Language and score of each text; ``und`` and 0 for null texts and texts without a letter."""
+    unkept()
     n = len(text)
     total = np.zeros((n, max(1, len(net.classes))))
     weight = np.zeros(n)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
-from .blocks import LOWER, Rolling, counted, small_batches, text_blocks, words_of
+from .blocks import LOWER, Rolling, counted, small_batches, text_blocks, unkept, words_of
 
 WORDS = 1 << 14
 RANK = 8
@@ -153,6 +153,7 @@ def inputs_udf(text: pa.Array, stated: pa.Array) -> pa.Array:
 
 
 def scores(machine: Machine, text: pa.Array, stated: pa.Array) -> pa.Array:
+    unkept()
     out = np.zeros(len(text))
     stated = stated.fill_null(0).to_numpy(zero_copy_only=False)
     for lo, hi, data, offsets in text_blocks(text):

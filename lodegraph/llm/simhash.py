@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .blocks import LOWER, durable, small_batches
+from .blocks import LOWER, durable, small_batches, unkept
 from .components import components
 
 TAU = 4
@@ -61,6 +61,7 @@ def fingerprint(text: str | None) -> int:
 
 @F.arrow_udf(LongType())
 def fingerprint_udf(text: pa.Array) -> pa.Array:
+    unkept()
     return pa.array(np.array([fingerprint(x) for x in text.to_pylist()], U).view(np.int64))
 
 

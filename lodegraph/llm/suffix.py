@@ -31,9 +31,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType
 
-from .blocks import BLOCK_BYTES, Rolling, durable, mix, packed, release, small_batches, utf8
+from .blocks import BLOCK_BYTES, Rolling, durable, mix, packed, release, small_batches, unkept, utf8
 
 WIDTH = 200
 KMER = 32
@@ -97,6 +97,7 @@ class Anchors:
 def segments(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     """Blocks (first row, end row, bytes, offsets, place of the first byte in its text); a
     text of over SEGMENT bytes comes in pieces that share WIDTH - 1 bytes."""
+    unkept()
     data, offsets = utf8(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -469,11 +470,11 @@ def squeezed(text: pa.Array) -> pa.Array:
 
 
 TAKEN = ["n_bytes", "n_removed", "n_spans", "kept"]
-RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def cut_repeats(docs: DataFrame, keep: str = "none", group: int = GROUP) -> DataFrame:
-    """All columns of ``docs`` but text, with n_bytes, n_removed, n_spans and the kept bytes.
+def cut_repeats(docs: DataFrame, keep: str = "none", group: int = GROUP, text: bool = False) -> DataFrame:
+    """All columns of ``docs`` but text, with n_bytes, n_removed, n_spans and the kept bytes, or with
+    ``text`` the kept bytes as a string, without those of characters that a cut left incomplete.
 
     A null text counts as empty; texts below WIDTH bytes stay whole; a text of over SEGMENT bytes is
     read in pieces that overlap.  Of rows that repeat with one doc_id and text, ``keep="first"``
@@ -496,18 +497,21 @@ def cut_repeats(docs: DataFrame, keep: str = "none", group: int = GROUP) -> Data
     both = own.join(spans.toDF("sid", "st", "spans"), F.col("id").eqNullSafe(F.col("sid")) & (F.col("t") == F.col("st")), "left").select("row", "z", "nth", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unkept()
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for z, nth, spans in zip(batch.column("z"), batch.column("nth"), batch.column("spans"), strict=True):
-                text = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)
-                gone = np.ones(len(text), bool) if nth.as_py() > 1 and len(text) >= WIDTH else covered(len(text), spans.as_py())
+                data = np.frombuffer(unpack.decompress(z.as_py()), np.uint8)
+                gone = np.ones(len(data), bool) if nth.as_py() > 1 and len(data) >= WIDTH else covered(len(data), spans.as_py())
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((len(text), int(gone.sum()), runs, text[~gone].tobytes()))
+                left = data[~gone].tobytes()
+                out.append((len(data), int(gone.sum()), runs, left.decode(errors="ignore") if text else left))
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string() if text else pa.binary()), strict=True))], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = both.mapInArrow(cut, f"row {both.schema['row'].dataType.simpleString()}, {RESULT}")
+    kind = "string" if text else "binary"
+    out = both.mapInArrow(cut, f"row {both.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {kind}")
     return out.select(*(F.col("row").getField(c).alias(c) for c in rest), *TAKEN)
 
 
@@ -531,9 +535,3 @@ def digest(cut: DataFrame) -> DataFrame:
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
-
-
-@F.arrow_udf(StringType())
-def readable(kept: pa.Array) -> pa.Array:
-    """Kept bytes as text, without the bytes of characters that a cut left incomplete."""
-    return pa.array([None if x is None else x.decode(errors="ignore") for x in kept.to_pylist()], pa.string())
