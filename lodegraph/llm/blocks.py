@@ -192,14 +192,14 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of a block, and the number of words of each text.
-    Words are runs of bytes other than ASCII white space; none crosses two texts."""
+    Words are runs of bytes not ``outside``, by default ASCII white space; none crosses two texts."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets) - 1, np.int64)
-    solid = ~SPACE[data]
+    solid = ~outside[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
