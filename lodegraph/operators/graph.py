@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,26 +16,37 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def traverse(edges: DataFrame, origins: DataFrame, max_depth: int | None = None, paths: bool = True) -> DataFrame:
-    """(origin, node, distance, path, ways) of all that each origin reaches: path is the smallest of the
-    shortest paths in the order of its nodes, ways their number.  One join a level; the frontier
-    alone is expanded, and a node is left out once it has been reached.  Without ``paths`` there is no path."""
-    best = [F.min("path").alias("path")] if paths else []
+def levels(links: DataFrame, start: DataFrame, max_depth: int | None = None) -> Iterator[DataFrame]:
+    """The rows (origin, node, .., ways) that are reached first at distance 0, 1, 2 ..: ``start`` has the first
+    ones, with a path or without.  One join a level; the frontier alone is expanded, and a node is left
+    out once it has been reached."""
+    paths = "path" in start.columns
     kept = ["path", "ways"] if paths else ["ways"]
-    links = settle(edges.select("src", "dst").where("src <> dst").distinct())  # read anew at each level
-    start = origins.select(F.col("origin"), F.col("origin").alias("node"), F.lit(0).alias("distance"), F.array("origin").alias("path"), F.lit(1).cast("long").alias("ways")).distinct()
-    seen = frontier = settle(start.select("origin", "node", "distance", *kept))
+    longer = [F.concat("path", F.array("dst")).alias("path")] if paths else []
+    best = [F.min("path").alias("path")] if paths else []
+    seen = frontier = settle(start.select("origin", "node", *kept))
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while not frontier.isEmpty():
+        yield frontier
         depth += 1
-        longer = [F.concat("path", F.array("dst")).alias("path")] if paths else []
+        if max_depth is not None and depth > max_depth:
+            return
         step = frontier.join(links, frontier["node"] == links["src"]).select("origin", F.col("dst").alias("node"), *longer, "ways")
         fresh = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").groupBy("origin", "node").agg(*best, F.sum("ways").alias("ways"))
-        frontier = settle(fresh.select("origin", "node", F.lit(depth).alias("distance"), *kept))
-        if frontier.isEmpty():
-            break
+        frontier = settle(fresh.select("origin", "node", *kept))
         seen = seen.unionByName(frontier)
-    return seen
+
+
+def traverse(edges: DataFrame, origins: DataFrame, max_depth: int | None = None, paths: bool = True) -> DataFrame:
+    """(origin, node, distance, path, ways) of all that each origin reaches: path is the smallest of the
+    shortest paths in the order of its nodes, ways their number.  Without ``paths`` there is no path."""
+    links = settle(edges.select("src", "dst").where("src <> dst").distinct())  # read anew at each level
+    path = [F.array("origin").alias("path")] if paths else []
+    start = origins.select(F.col("origin"), F.col("origin").alias("node"), *path, F.lit(1).cast("long").alias("ways")).distinct()
+    found = [x.withColumn("distance", F.lit(d)) for d, x in enumerate(levels(links, start, max_depth=max_depth))]
+    if not found:
+        found = [start.withColumn("distance", F.lit(0))]
+    return reduce(DataFrame.unionByName, found).select("origin", "node", "distance", *(["path"] if paths else []), "ways")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -57,16 +71,40 @@ def hotspots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return reach(nodes, edges).join(F.broadcast(n)).select("node", "reach", (F.col("reach") >= least).alias("hotspot"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, amount): how much the shortest paths from all ``sources(origin)`` depend on each node, after
+    Brandes: paths are counted level by level outwards, and shares come back level by level inwards,
+    so that no pair of pairs is ever joined."""
+    start = sources.select("origin", F.col("origin").alias("node"), F.lit(1).cast("long").alias("ways"))
+    found = list(levels(links, start))
+    given = [sources.select(F.col("origin").alias("node"), F.lit(0.0).alias("amount")).limit(0)]
+    outer = None  # (origin, node, share) of a level: what a node hands to each way that leads to it
+    for depth in range(len(found) - 1, 0, -1):
+        level = found[depth]
+        if outer is None:
+            owed = level.select("origin", "node", (1 / F.col("ways")).alias("share"))
+        else:
+            owed = settle(level.join(outer, ["origin", "node"], "left").select("origin", "node", "ways", F.coalesce(F.col("ways") * F.col("share"), F.lit(0.0)).alias("amount")))
+            given.append(owed.select("node", "amount"))
+            owed = owed.select("origin", "node", ((1 + F.col("amount")) / F.col("ways")).alias("share"))
+        # the steps of the way out, once more: those to a node of another level find nothing owed
+        steps = found[depth - 1].join(links, F.col("node") == links["src"]).select("origin", "src", F.col("dst").alias("node"))
+        outer = steps.join(owed, ["origin", "node"]).groupBy("origin", F.col("src").alias("node")).agg(F.sum("share").alias("share"))
+    return reduce(DataFrame.unionByName, given).groupBy("node").agg(F.sum("amount").alias("amount"))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, batch: int = 100_000) -> DataFrame:
     """(node, betweenness): the sum over pairs of the share of their shortest paths through the
-    node, its own pairs left out."""
-    pairs = traverse(edges, nodes.select(F.col("node").alias("origin")), paths=False).where("distance > 0").select("origin", "node", "distance", "ways")
-    first = pairs.select(F.col("origin").alias("s"), F.col("node").alias("v"), F.col("distance").alias("d1"), F.col("ways").alias("w1"))
-    second = pairs.select(F.col("origin").alias("v"), F.col("node").alias("t"), F.col("distance").alias("d2"), F.col("ways").alias("w2"))
-    whole = pairs.select(F.col("origin").alias("s"), F.col("node").alias("t"), "distance", "ways")
-    through = first.join(second, "v").where("s <> t").join(whole, ["s", "t"]).where("d1 + d2 = distance")
-    own = through.groupBy(F.col("v").alias("node")).agg(F.sum(F.col("w1") * F.col("w2") / F.col("ways")).alias("b"))
-    return nodes.select("node").join(own, "node", "left").select("node", round_half_up(F.coalesce("b", F.lit(0.0))).alias("betweenness"))
+    node, its own pairs left out.  ``batch`` sources or so are followed at a time: that, times what a
+    source reaches, bounds the rows of a level."""
+    links = settle(edges.select("src", "dst").where("src <> dst").distinct())
+    sources = settle(links.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("src").alias("origin")).distinct())
+    batches = -(-sources.count() // batch)
+    own = [settle(dependencies(links, sources.where(F.pmod(F.xxhash64("origin"), F.lit(batches)) == k))) for k in range(batches)]
+    if not own:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    total = reduce(DataFrame.unionByName, own).groupBy("node").agg(F.sum("amount").alias("b"))
+    return nodes.select("node").join(total, "node", "left").select("node", round_half_up(F.coalesce("b", F.lit(0.0))).alias("betweenness"))
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
@@ -97,6 +135,18 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(ends, "node", "left_anti")
 
 
+def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: ok, nodes, edges, cycles, dangling, orphans.  Edges with an unknown end are dangling and
+    take no part in the rest; sound is a graph without those and without cycles."""
+    from .cycles import cycles
+
+    lost = dangling(nodes, edges)
+    sound = edges.join(lost.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    counts = [nodes.agg(F.count_distinct("node").alias("nodes")), edges.agg(F.count("*").alias("edges")), cycles(sound).agg(F.count("cycle").alias("cycles")), lost.agg(F.count("*").alias("dangling")), orphans(nodes.distinct(), sound).agg(F.count("*").alias("orphans"))]
+    row = reduce(lambda a, b: a.join(F.broadcast(b)), counts)  # of one row each
+    return row.select(((F.col("cycles") == 0) & (F.col("dangling") == 0)).alias("ok"), "nodes", "edges", "cycles", "dangling", "orphans")
+
+
 def authoritative(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, authoritative): the edges at a node, either way, that are authoritative."""
     sure = edges.where("authoritative").select("src", "dst").distinct()

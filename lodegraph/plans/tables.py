@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sequence import following
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,6 +85,28 @@ def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.union(held).union(made).where("src is not null and dst is not null").distinct()
 
 
+#: Sections of a site: keys of events by fives; a node is a user's visit to one.
+SECTION, SECTIONS = 5, 100
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, user_id, event_type, ts, event_id) of the events with a key: node is the user x 100 + the section."""
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    node = F.col("user_id").cast("long") * SECTIONS + F.floor(k / SECTION)
+    return table(spark, sf_dir, "events").select(node.alias("node"), "user_id", "event_type", "ts", "event_id").where("node is not null and ts is not null")
+
+
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, moves): from one section to that of the user's next event, and how often."""
+    own = following(visits(spark, sf_dir), "user_id", F.to_date("ts"), ["ts", "event_id"], "node")
+    return own.where("next is not null").groupBy(F.col("node").alias("src"), F.col("next").alias("dst")).agg(F.count("*").alias("moves"))
+
+
+VISITS_SQL = """visit AS (
+    SELECT user_id * 100 + CAST(json_extract_string(props, '$.k') AS BIGINT) // 5 AS node, user_id, event_type, ts, event_id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL
+), moved AS (SELECT node AS src, lead(node) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM visit),
+move AS (SELECT src, dst, count(*) AS moves FROM moved WHERE dst IS NOT NULL GROUP BY 1, 2), edge AS (SELECT src, dst FROM move WHERE src <> dst)"""
+
 TRADE_SQL = """pair AS (
     SELECT s_nationkey AS src, c_nationkey AS dst, sum(l_extendedprice * (1 - l_discount)) AS amount
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
