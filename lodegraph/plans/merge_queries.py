@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alnum, round_half_up, slug
 from ..operators import changes, merge, search
+from ..operators.occurrence import occurrences
 from .tables import table
 
 Spark = SparkSession
@@ -62,12 +63,13 @@ def pubsub_join(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 def env_theta_join(spark: Spark, sf_dir: str) -> DataFrame:
-    """Part names, alphanumerics only, that contain a colour's slug: the first slug in order.  The
-    slugs are the distinct first words of the names, a few."""
+    """Part names, alphanumerics only, that contain a colour's slug: the first slug in order.  The slugs are
+    the distinct first words of the names; names and slugs meet by pieces that they share."""
     part = table(spark, sf_dir, "part")
     slugs = part.select(slug(F.substring_index("p_name", " ", 1)).alias("slug")).distinct().where(F.length("slug") >= 3)
-    names = part.select("p_name").distinct().withColumn("env", alnum(F.col("p_name")))
-    return names.join(slugs, F.col("env").contains(F.col("slug"))).groupBy("p_name").agg(F.min("slug").alias("target"), F.count("*").alias("claims"))
+    names = part.select(F.col("p_name").alias("text_id"), alnum(F.col("p_name")).alias("text")).distinct()
+    met = occurrences(names, slugs.select(F.col("slug").alias("pattern_id"), F.col("slug").alias("pattern")))
+    return met.groupBy(F.col("text_id").alias("p_name")).agg(F.min("pattern_id").alias("target"), F.count("*").alias("claims"))
 
 
 def prefix_owner_join(spark: Spark, sf_dir: str) -> DataFrame:
