@@ -311,8 +311,9 @@ def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
     chosen = durable(found.select("doc_id", "fp", "root"))
     if chosen.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    # ids repeat or are null: rows are told apart by their fingerprints as well
-    own = docs.withColumn("_fp", fingerprint_udf("text"))
-    kept = chosen.distinct().select(F.col("doc_id").alias("_id"), F.col("fp").alias("_chosen"), F.col("root").alias("_root"))
-    on = own["doc_id"].eqNullSafe(kept["_id"]) & (own["_fp"] == kept["_chosen"])
-    return own.join(kept, on).dropDuplicates(["_root"]).select(*docs.columns)
+    # ids repeat or are null: rows are told apart by their fingerprints as well, and travel in a struct of their own
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(row, F.col("doc_id").alias("id"), fingerprint_udf("text").alias("fp"))
+    kept = chosen.distinct().toDF("kept_id", "kept_fp", "root")
+    both = own.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("fp") == F.col("kept_fp"))).dropDuplicates(["root"])
+    return both.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

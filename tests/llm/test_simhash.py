@@ -88,4 +88,8 @@ def test_classes_of_one_id_or_none(spark, monkeypatch):
     alone = [(1, 0xFFFF << 44), (None, 0xFFFF << 28)]
     kept = lambda rows: sorted(r.doc_id or 0 for r in simhash.keep_one(spark.createDataFrame([(i, str(x)) for i, x in rows], "doc_id long, text string")).collect())
     assert kept(linked) == [0, 1]
+    names = "doc_id long, text string, _fp string, _root int, _id int, fp string, root int, id int, kept_id int, `a.b` int"
+    odd = spark.createDataFrame([(1, "0", "x", 1, 2, "y", 3, 4, 5, 6), (1, "255", "x", 1, 2, "y", 3, 4, 5, 6), (2, "15", "z", 1, 2, "y", 3, 4, 5, 6)], names)
+    (row,) = simhash.keep_one(odd).collect()
+    assert row.asDict().keys() == {*odd.columns} and (row["doc_id"], row["_fp"], row["_root"], row["a.b"]) == (1, "x", 1, 6)
     assert kept(linked + alone) == [0, 0, 1, 1]
