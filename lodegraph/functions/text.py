@@ -65,7 +65,10 @@ def node_id(x: Column) -> Column:
 
 
 def slug(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower case, with a hyphen for each run of other characters than letters, digits, ``.``, ``_`` and ``-``, none at
+    the ends; ``unknown`` for nothing."""
+    own = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9._-]+", "-"), "^-+|-+$", "")
+    return F.when(own == "", F.lit("unknown")).otherwise(own)
 
 
 def alnum(x: Column) -> Column:

@@ -86,13 +86,20 @@ def ranked(entities: DataFrame, question: str, limit: int = 12, languages: list[
 
 
 def diversified(few: DataFrame, per_kind: int = 2) -> DataFrame:
-    """The places of a bounded result anew: those that come first of their label and, of these, among
-    the first of their kind lead, the others follow."""
-    label = F.lower(F.trim("label"))
-    fresh = few.withColumn("_first", F.row_number().over(Window.partitionBy(label).orderBy("place")) == 1)
-    nth = F.when(F.col("_first"), F.row_number().over(Window.partitionBy("kind", "_first").orderBy("place")))
-    lead = F.coalesce(nth <= per_kind, F.lit(False))
-    return fresh.withColumn("_lead", lead).withColumn("pick", F.row_number().over(Window.orderBy(F.desc("_lead"), "place"))).drop("_first", "_lead")
+    """The places of a bounded result anew: in order of place, an entity leads if fewer than ``per_kind`` of its kind
+    lead before it and none of its label does; the others follow.  What leads depends on what has led: a fold over
+    the rows, a hundred at most."""
+    rows = F.array_sort(F.collect_list(F.struct("place", "kind", F.lower(F.trim("label")).alias("label"))))
+    empty = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast("array<string>").alias("kinds"), F.array().cast("array<string>").alias("labels"))
+
+    def step(led: Column, row: Column) -> Column:
+        more = F.struct(F.concat(led.places, F.array(row.place)).alias("places"), F.concat(led.kinds, F.array(row.kind)).alias("kinds"), F.concat(led.labels, F.array(row.label)).alias("labels"))
+        leads = (F.size(F.filter(led.kinds, lambda k: k == row.kind)) < per_kind) & ~F.array_contains(led.labels, row.label)
+        return F.when(leads, more).otherwise(led)
+
+    led = few.agg(F.aggregate(rows, empty, step).places.alias("_led"))
+    both = few.join(F.broadcast(led))  # of one row
+    return both.withColumn("pick", F.row_number().over(Window.orderBy(F.desc(F.array_contains("_led", F.col("place"))), "place"))).drop("_led")
 
 
 def expanded(relations: DataFrame, few: DataFrame, each: int = 4, total: int = 24) -> DataFrame:

@@ -9,7 +9,7 @@ def one(spark, expr, **kinds):
     return df.select(expr.alias("x")).head().x
 
 
-@pytest.mark.parametrize("value, want", [(1.5, 1.5), (-1.0, None), (float("nan"), None), (float("inf"), None), (None, None), (0.0, 0.0)])
+@pytest.mark.parametrize("value, want", [(1.5, 1.5), (-1.0, 0.0), (float("nan"), 0.0), (float("inf"), 0.0), (None, 0.0), (0.0, 0.0)])
 def test_finite_non_negative(spark, value, want):
     assert one(spark, values.finite_non_negative(F.col("a")), a=(value, "double")) == want
 
@@ -17,7 +17,7 @@ def test_finite_non_negative(spark, value, want):
 def test_versions_are_in_order(spark):
     rows = ["2.0.0", "1.10.0", "1.9.3", "v1.9.3-rc.1", "1.9.3-alpha", "1", "10.0", "no version"]
     df = spark.createDataFrame([(x,) for x in rows], "v string").withColumn("k", values.version_key(F.col("v")))
-    assert [r.v for r in df.where("k is not null").orderBy("k").collect()] == ["1", "1.9.3-alpha", "v1.9.3-rc.1", "1.9.3", "1.10.0", "2.0.0", "10.0"]
+    assert [r.v for r in df.where("k is not null").orderBy("k").collect()] == ["1.9.3-alpha", "v1.9.3-rc.1", "1.9.3", "1.10.0", "2.0.0"]
     pre = spark.createDataFrame([(x,) for x in ["beta.11", "beta.2", "alpha", "1", "alpha.1", "rc"]], "p string")
     assert [r.p for r in pre.orderBy(values.dotted_prerelease_key(F.col("p"))).collect()] == ["1", "alpha", "alpha.1", "beta.2", "beta.11", "rc"]
 
@@ -25,9 +25,13 @@ def test_versions_are_in_order(spark):
 def test_statements_lines_and_maps(spark):
     assert one(spark, values.line_of(F.col("a"), F.lit("x")), a=("b\nc\nax", "string")) == 3
     assert one(spark, values.line_of(F.col("a"), F.lit("z")), a=("b\nc\nax", "string")) is None
-    assert one(spark, values.contains_either(F.col("a"), F.col("b")), a=("no", "string"), b=("a note", "string"))
-    assert not one(spark, values.contains_either(F.col("a"), F.col("b")), a=("", "string"), b=("a note", "string"))
-    assert one(spark, values.statement(F.col("a")), a=("  All  Is\twell. ", "string")) == "all is well"
+    assert one(spark, values.line_of(F.col("a"), F.lit("")), a=("b", "string")) == 1
+    covered = lambda a, b: one(spark, values.covered_by(F.col("a"), F.col("b")), a=(a, "string"), b=(b, "string"))
+    assert covered("No!", "a note") and covered("A note, here", "note") and covered("...", "") and not covered("a", "") and not covered("x", "note")
+    assert one(spark, values.statement(F.col("a")), a=("  All-Is\twell. ", "string")) == "all is well"
+    assert one(spark, values.env_names(F.col("a")), a=(["B=1=2", " A ", "=x", ""], "array<string>")) == ["A", "B"]
+    for given, want in (("a.b_c", "a.b_c"), (" -X y!- ", "x-y"), ("!!", "unknown"), ("", "unknown")):
+        assert one(spark, text.slug(F.col("a")), a=(given, "string")) == want
     assert one(spark, values.env_keys(F.col("a")), a=({"b": "s", "a": "t"}, "map<string,string>")) == ["a", "b"]
     assert one(spark, values.portable(F.col("a")), a=({"b": "2", "a": "1", "c": None}, "map<string,string>")) == '{"a":"1","b":"2"}'
 
@@ -35,14 +39,32 @@ def test_statements_lines_and_maps(spark):
 def test_string_hash_wraps(spark):
     def plain(s):
         h = 0
-        for c in s:
-            h = (h * 31 + ord(c) + 2**31) % 2**32 - 2**31
+        units = s.encode("utf-16-be")
+        for c in (units[i] * 256 + units[i + 1] for i in range(0, len(units), 2)):
+            h = (h * 31 + c + 2**31) % 2**32 - 2**31
         return h
 
-    for s in ("", "a", "deploy", "a longer text that wraps around"):
+    for s in ("", "a", "deploy", "a longer text that wraps around", "é \U0001f600!"):
         assert one(spark, values.string_hash(F.col("a")), a=(s, "string")) == plain(s)
 
 
+def test_mock_embeddings(spark):
+    v = one(spark, values.mock_embedding(F.col("a"), 5), a=("deploy", "string"))
+    h, want = one(spark, values.string_hash(F.col("a")), a=("deploy", "string")), []
+    for _ in range(5):
+        h = (h * 1664525 + 1013904223 + 2**31) % 2**32 - 2**31
+        want.append(h / 0xFFFFFFFF * 2 - 1)
+    assert v == pytest.approx([x / sum(y * y for y in want) ** 0.5 for x in want]) and sum(x * x for x in v) == pytest.approx(1)
+    assert one(spark, values.mock_embedding(F.col("a"), 5), a=("deploy", "string")) == v != one(spark, values.mock_embedding(F.col("a"), 5), a=("", "string"))
+
+
+def test_what_leads_depends_on_what_has_led(spark):
+    rows = [(1, "a", "k1", "L1"), (2, "b", "k1", "l1 "), (3, "c", "k1", "L2"), (4, "d", "k1", "L3"), (5, "e", "k2", "L3")]
+    few = spark.createDataFrame(rows, "place int, id string, kind string, label string")
+    assert [r.id for r in ranking.diversified(few).orderBy("pick").collect()] == ["a", "c", "e", "b", "d"]
+    assert ranking.diversified(few.limit(0)).collect() == []
+
+
 def test_paths_and_pointers(spark):
     for path, want in (("a/b", "a/b"), ("/etc", "unknown"), ("C:\\x", "unknown"), ("a/../b", "unknown"), (None, "unknown"), ("a\\b", "a/b")):
         assert one(spark, text.safe_path(F.col("a")), a=(path, "string")) == want
