@@ -3,7 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from lodegraph.operators import connection, cycles, freshness, graph, sequence
+from lodegraph.operators import connection, cycles, freshness, graph, impact, sequence
 from lodegraph.plans import catalog
 from pyspark.sql import functions as F
 
@@ -195,3 +195,21 @@ def test_registered_cycles_are_those_of_the_whole_graph(spark):
     known = {r.node for r in catalog.visit_queries.visits(spark, at).where("event_type = 'purchase'").collect()}
     sound = [x for x in links if set(x) <= known]
     assert tuple(found) == (False, len(known), len(links), len(cycles.back_edge_cycles(sound)), len(links) - len(sound), len(known - {x for e in sound for x in e}))
+
+
+def test_impact_goes_down_with_the_first_step(spark):
+    """A chain of dependents, a hotspot, and a cycle."""
+    nodes = spark.createDataFrame([(n,) for n in ("core", "api", "web", "tool", "lib", "alone")], "node string")
+    links = [("api", "core", "package"), ("api", "core", "import"), ("web", "api", "import"), ("tool", "api", "contract"), ("lib", "tool", "import"), ("core", "api", "import"), ("web", "ghost", "x")]
+    edges = spark.createDataFrame(links, "src string, dst string, kind string")
+    found = lambda *changes: {r.node: (r.scope, r.source, r.distance, r.via, ">".join(r.path), r.hotspot, r.risk) for r in impact.impact(spark.createDataFrame(changes, "node string, kind string, severity string"), nodes, edges).collect()}
+    got = found(("core", "changed", "info"), ("core", "changed", "warning"), ("gone", "removed", "info"))
+    assert got == {
+        "core": ("direct", "core", 0, None, "core", True, "critical"), "gone": ("direct", "gone", 0, None, "gone", False, "high"), "api": ("transitive", "core", 1, "import", "core>api", True, "high"),
+        "web": ("transitive", "core", 2, "import", "core>api>web", False, "high"), "tool": ("transitive", "core", 2, "contract", "core>api>tool", False, "high"), "lib": ("transitive", "core", 3, "import", "core>api>tool>lib", False, "high"),
+    }
+    got = found(("tool", "changed", "info"), ("alone", "added", "critical"), ("web", "changed", "info"))
+    assert got["lib"] == ("transitive", "tool", 1, "import", "tool>lib", False, "low") and got["alone"][-1] == "critical" and got["web"][-1] == "medium" and len(got) == 4
+    assert found((None, "changed", "info")) == {}
+    summary = lambda rows: tuple(impact.impact_summary(spark.createDataFrame(rows, "scope string, distance int, risk string")).head())
+    assert summary([("direct", 0, "medium"), ("transitive", 3, "high")]) == (1, 1, 3, "high") and summary([]) == (0, 0, 0, "none")
