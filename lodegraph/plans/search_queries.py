@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values
 from ..operators import ranking
 from .tables import ENTITIES, table
 
@@ -80,3 +81,22 @@ ORACLE_SQL = {
         o AS (SELECT src || '>' || dst AS id, src, dst, CASE WHEN src IN (SELECT id FROM r) THEN src WHEN dst IN (SELECT id FROM r) THEN dst END AS owner FROM e)
         SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY owner ORDER BY id) AS INTEGER) AS nth FROM o WHERE owner IS NOT NULL) WHERE nth <= 4 ORDER BY id LIMIT 24""",
 }
+
+
+def name_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part name with its hash and the vector of four numbers that the hash seeds."""
+    own = table(spark, sf_dir, "part").select("p_name").where("p_name is not null").distinct()
+    own = own.withColumn("hash", values.string_hash(F.col("p_name"))).withColumn("v", values.mock_embedding(F.col("p_name"), 4))
+    return own.select("p_name", "hash", *(F.round(F.col("v")[k], 6).alias(f"v{k}") for k in range(4)))
+
+
+QUERIES |= {"name_vectors": name_vectors}
+_STEP = "((({x}) * 1664525 + 1013904223 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648"
+_SEEDS = ", ".join(f"s{k} AS (SELECT *, {_STEP.format(x=f'h{k}')} AS h{k + 1} FROM {f's{k - 1}' if k else 'h'})" for k in range(4))
+_UNIT = ", ".join(f"round((h{k + 1} / 4294967295 * 2 - 1) / sqrt({' + '.join(f'(h{j + 1} / 4294967295 * 2 - 1) ** 2' for j in range(4))}), 6) AS v{k}" for k in range(4))
+ORACLE_SQL |= {
+    # names are plain letters: one unit of UTF-16 each
+    "name_vectors": f"""WITH n AS (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL),
+        h AS (SELECT p_name, list_reduce(list_transform(string_split(p_name, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0::BIGINT) AS h0 FROM n),
+        {_SEEDS} SELECT p_name, CAST(h0 AS INTEGER) AS hash, {_UNIT} FROM s3""",
+}
