@@ -13,8 +13,10 @@ A byte goes if a string of ``WIDTH`` bytes that covers it also starts elsewhere.
    task, which builds the suffix array of their concatenation to depth ``WIDTH``.  A context
    that repeats stands in the array twice, as its first copy and as any later one.  Previous
    and next smaller positions in suffix order give each window an earlier or a later equal.
-   An anchor of over ``GROUP`` distinct contexts, which would not fit a task, compares 128-bit
-   window hashes by a combined aggregate instead.
+   An anchor of over ``GROUP`` distinct contexts, which would not fit a task, is divided by the
+   anchor's place in the windows into ``STEPS`` ranges: windows of one range share the bytes around it,
+   whose hash deals them anew, with their distinct stretches in place of contexts.  What is still
+   crowded is divided once more, into single places.
 4. Marked windows return to their texts by a join; whatever they cover is cut out.
 
 ``keep="none"`` removes every copy (by the longest factor before or after), and
@@ -40,6 +42,8 @@ KMER = 32
 SPAN = WIDTH - KMER + 1
 PLACE_BITS = 24
 GROUP = 2048
+#: Into so many ranges the places of a crowded anchor in its windows are cut, twice: SPAN is the square.
+STEPS = 13
 FILTER_BITS = 1 << 28
 ITEM_BITS = 12
 PROBES = 4
@@ -377,6 +381,7 @@ def utf8_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 FIRST = "struct<u:boolean,doc_id:long,t:long,loc:long>"
 MARKS = f"h long, c long, first {FIRST}, other binary, before binary, later binary"
+PARTS = f"h long, c long, own {FIRST}, ctx binary, ph long, pc long, first {FIRST}, k long, at int, n int"
 
 
 def marks(found: DataFrame, group: int = GROUP) -> DataFrame:
@@ -386,7 +391,12 @@ def marks(found: DataFrame, group: int = GROUP) -> DataFrame:
         raise ValueError(group)
     head = F.col("occ")[0]
     own = found.select("h", "c", F.size("occ").cast("long").alias("k"), F.struct(head["doc_id"].isNull().alias("u"), head["doc_id"].alias("doc_id"), head["t"].alias("t"), head["loc"].alias("loc")).alias("first"), "ctx")
-    hot = durable(found.select("h", "c").distinct().groupBy("h").count().where(F.col("count") > group).select("h"))
+    return _marked(own, SPAN, group)
+
+
+def _marked(own: DataFrame, wide: int, group: int) -> DataFrame:
+    """MARKS of rows (h, c, k, first, ctx), whose windows' anchors stand at ``wide`` places of them."""
+    hot = durable(own.select("h", "c").distinct().groupBy("h").count().where(F.col("count") > group).select("h"))
     calm, crowded = own, None
     if not hot.isEmpty():
         calm, crowded = own.join(hot, "h", "left_anti"), own.join(hot, "h", "left_semi")
@@ -394,35 +404,60 @@ def marks(found: DataFrame, group: int = GROUP) -> DataFrame:
     out = calm.repartition("h").groupBy("h", "c").agg(*both).sortWithinPartitions("h", "first").select("h", "c", "first", "k", "ctx").mapInArrow(_mark, MARKS)
     if crowded is None:
         return out
+    # windows with their anchor in one place are equal or unlike as a whole: at one place no group has two contexts
+    wide = max(1, wide // STEPS)
+    parts = durable(ranges(crowded.groupBy("h", "c").agg(*both), wide))
+    under = _marked(parts.select("h", "c", "k", F.col("own").alias("first"), "ctx").groupBy("h", "c").agg(*both), wide, group)
+    # a part has one row of marks at most, so no more rows come out than parts went in
+    each = parts.drop("ctx").join(under.withColumnRenamed("first", "least"), ["h", "c"])
+    before = F.when(F.col("own").eqNullSafe(F.col("least")), F.col("before")).otherwise(F.col("later"))
+    found = [F.collect_list(F.when(x.isNotNull(), F.struct("at", "n", x.alias("bits")))).alias(name) for x, name in ((F.col("other"), "other"), (before, "before"))]
+    hits = each.groupBy("ph", "pc").agg(F.min("first").alias("first"), F.max("k").alias("k"), *found)
+    before = F.when(F.size("before") > 0, bit_map("before"))
+    return out.union(hits.select("ph", "pc", "first", bit_map("other"), before, F.when(F.col("k") > 1, F.lit(b""))))
+
+
+def ranges(one: DataFrame, wide: int) -> DataFrame:
+    """PARTS of the contexts (h, c, k, first, ctx): the stretch of the windows whose anchors stand at places
+    ``wide`` * j to ``wide`` * (j + 1) - 1 of them, for each j.  h: hash of the bytes that all such windows
+    share, so that equal windows meet under one; own: ``first`` with the sides of the stretch; ph, pc:
+    hashes of the context; at, n: its first window and how many it has."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8_binary(batch.column("ctx"))
-            for lo in range(0, batch.num_rows, 256):
-                hi = min(batch.num_rows, lo + 256)
-                own, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                counts = np.diff(off) - WIDTH + 1
-                row = np.repeat(np.arange(hi - lo), counts)
-                i = np.arange(counts.sum()) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-                at = off[row] + i
-                x, y = (mix(Rolling(own, s).windows(WIDTH))[at].view(np.int64) for s in (31, 37))
-                rows = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(i), *(batch.column(k).take(rows) for k in ("h", "c", "k", "first"))], names=["x", "y", "i", "h", "c", "k", "first"])
-
-    one = crowded.groupBy("h", "c").agg(*both)
-    each = one.select("ctx", "h", "c", "k", "first").mapInArrow(windows, f"x long, y long, i long, h long, c long, k long, first {FIRST}")
-    least = durable(each.groupBy("x", "y").agg(F.sum("k").alias("n"), F.min("first").alias("least")).where("n > 1"))
-    hits = each.join(least, ["x", "y"]).groupBy("h", "c").agg(F.min("first").alias("first"), F.max("k").alias("k"), F.collect_list("i").alias("other"), F.collect_list(F.when(F.col("least") < F.col("first"), F.col("i"))).alias("before"))
-    before = F.when(F.size("before") > 0, bit_map("before"))
-    return out.union(hits.select("h", "c", "first", bit_map("other"), before, F.when(F.col("k") > 1, F.lit(b""))))
+            for lo in range(0, batch.num_rows, 1024):
+                rows = batch.slice(lo, 1024)
+                data, offsets = utf8_binary(rows.column("ctx"))
+                loc = np.array([x["loc"] for x in rows.column("first").to_pylist()], np.int64)
+                back, ahead = loc >> 8 & 255, loc & 255
+                count = back // wide - ahead // wide + 1
+                row = np.repeat(np.arange(len(loc)), count)
+                j = (ahead // wide)[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                top, end = np.minimum(back[row], (j + 1) * wide - 1), np.maximum(ahead[row], j * wide)
+                at, place = back[row] - top, offsets[row] + back[row]
+                roll = Rolling(data, 31)
+                h = mix(roll.spans(place - j * wide, place - (j + 1) * wide + 1 + WIDTH) + mix(j.astype(U) + U(1)))
+                c = mix(Rolling(data, 37).spans(place - top, place - end + WIDTH) + mix((top << 8 | end).astype(U) + U(1)))
+                ctx = [data[a:b].tobytes() for a, b in zip((place - top).tolist(), (place - end + WIDTH).tolist(), strict=True)]
+                taken = rows.take(pa.array(row))
+                first = taken.column("first")
+                own = pa.StructArray.from_arrays([*(first.field(x) for x in ("u", "doc_id", "t")), pa.array(loc[row] >> 16 << 16 | top << 8 | end)], names=["u", "doc_id", "t", "loc"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), own, pa.array(ctx, pa.binary()), taken.column("h"), taken.column("c"), first, taken.column("k"), pa.array(at.astype(np.int32)), pa.array((top - end + 1).astype(np.int32))],
+                    names=["h", "c", "own", "ctx", "ph", "pc", "first", "k", "at", "n"],
+                )
+
+    return one.select("h", "c", "k", "first", "ctx").mapInArrow(cut, PARTS)
 
 
 @F.arrow_udf(BinaryType())
-def bit_map(places: pa.Array) -> pa.Array:
+def bit_map(parts: pa.Array) -> pa.Array:
     out = []
-    for x in places.to_pylist():
+    for own in parts.to_pylist():
         bits = np.zeros(2 * WIDTH, bool)
-        bits[x] = True
+        for x in own:
+            held = x["bits"]
+            bits[x["at"] : x["at"] + x["n"]] = np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little")[: x["n"]] if held else True
         out.append(np.packbits(bits, bitorder="little").tobytes())
     return pa.array(out, pa.binary())
 

@@ -86,3 +86,25 @@ def test_longest_factors_follow_their_definition():
     words = [data[i : i + depth].tobytes() for i in starts]
     assert list(earlier) == [w in words[:i] for i, w in enumerate(words)]
     assert list(later) == [w in words[i + 1 :] for i, w in enumerate(words)]
+
+
+def test_crowded_anchors_are_cut_by_ranges_of_places(spark):
+    """Near copies of one passage: rows grow with their number, not with their windows or pairs."""
+    near, rng = 120, np.random.default_rng(5)
+    text = "".join(rng.choice(list("abcdefgh "), 700))
+    rows = []
+    for i in range(near):
+        at, to = int(rng.integers(0, 690)), "".join(rng.choice(list("xyz"), 4))
+        rows.append((i, text[:at] + to + text[at:]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = suffix.occurrences(docs.selectExpr("doc_id", "xxhash64(text) as t", "text"), 64)
+    head = "struct(occ[0].doc_id is null as u, occ[0].doc_id as doc_id, occ[0].t as t, occ[0].loc as loc)"
+    one = one.where("ctx is not null").dropDuplicates(["h", "c"]).selectExpr("h", "c", "1L as k", f"{head} as first", "ctx")
+    windows, contexts = one.selectExpr(f"sum(length(ctx) - {suffix.WIDTH} + 1)", "count(*)").head()
+    parts = suffix.ranges(one, suffix.STEPS)
+    assert parts.selectExpr("sum(n)").head()[0] == windows
+    assert parts.count() <= windows / suffix.STEPS + 2 * contexts
+    for keep in ("none", "first"):
+        want = brute([(i, t.encode()) for i, t in rows], keep)
+        got = {r.doc_id: bytes(r.kept) for r in suffix.cut_repeats(docs, keep, 4).collect()}
+        assert got == want
