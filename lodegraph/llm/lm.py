@@ -1,10 +1,11 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Words and pairs of words are counted over all training texts.  A count is quantised to a
-level of ``EDGES`` (whole up to 10, then in steps of a tenth), and an n-gram of level q goes
+level of ``EDGES`` (whole up to 10, then in steps of a tenth), and a pair of level q goes
 into a Bloom filter q times, once with each level from 1; its level is read back by probing
-levels upwards until one is missing.  The filter is broadcast to the workers.  A word's
-probability after another is smoothed towards that of the word alone:
+levels upwards until one is missing.  The filter is broadcast to the workers, with the words'
+exact counts, from which their levels are taken.  A word's probability after another is
+smoothed towards that of the word alone:
 
     P(w)     = (c(w) + 1) / (N + V + 1)
     P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU)
@@ -123,7 +124,7 @@ def counts(docs: DataFrame, buckets: int) -> DataFrame:
     def reduced(rows: pa.Table) -> pa.Table:
         w, wn = merged(packed(rows["w"].combine_chunks(), "<u8"), [x.astype(np.int64) for x in packed(rows["wn"].combine_chunks(), "<u4")])
         g, gn = merged(packed(rows["g"].combine_chunks(), "<u8"), [x.astype(np.int64) for x in packed(rows["gn"].combine_chunks(), "<u4")])
-        items = int(level_of(wn).sum() + level_of(gn).sum())
+        items = int(level_of(gn).sum())
         return pa.table({
             "bucket": rows["bucket"][:1], "w": [w.tobytes()], "wn": [wn.astype("<i8").tobytes()], "g": [g.tobytes()], "gn": [gn.astype("<i8").tobytes()],
             "tokens": pa.array([int(wn.sum())]), "words": pa.array([len(w)]), "items": pa.array([items]),
@@ -165,7 +166,7 @@ def segment(h: np.ndarray, level: np.ndarray, size: int) -> bytes:
 
 @dataclass
 class Slice:
-    """Segments of buckets first .. first + len - 1, and the words of these buckets with their counts."""
+    """Segments of buckets first .. first + len - 1 for pairs, and the words of these buckets with their counts."""
 
     first: int
     buckets: int  # in all
@@ -175,7 +176,7 @@ class Slice:
     numbers: np.ndarray
 
     def level(self, h: np.ndarray) -> np.ndarray:
-        """Levels of n-grams; 0 for those not in this slice."""
+        """Levels of pairs; 0 for those not in this slice."""
         out = np.zeros(len(h), np.uint8)
         at = (buckets_of(h, self.buckets) - self.first) * self.size
         live = np.flatnonzero((at >= 0) & (at < len(self.bits) * 8))
@@ -217,9 +218,8 @@ class Model:
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in range(batch.num_rows):
-                    w, g = (np.frombuffer(batch.column(c)[r].as_py(), "<u8") for c in ("w", "g"))
-                    wn, gn = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in ("wn", "gn"))
-                    bits = segment(np.concatenate((w, g)), np.concatenate((level_of(wn), level_of(gn))), size)
+                    g, gn = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("g", "<u8"), ("gn", "<i8")))
+                    bits = segment(g, level_of(gn), size)
                     yield pa.RecordBatch.from_arrays([batch.column("bucket")[r : r + 1], pa.array([bits], pa.binary()), batch.column("w")[r : r + 1], batch.column("wn")[r : r + 1]], names=["bucket", "bits", "w", "wn"])
 
         own = self.table.where((F.col("bucket") >= k * each) & (F.col("bucket") < (k + 1) * each)).select("bucket", "w", "wn", "g", "gn")
@@ -280,7 +280,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             # a word outside the slice adds nothing here; one that no slice has adds its share at the end
             own_known = np.add.reduceat((own > 0)[back_h].astype(np.int64), edge[:-1])
             own_base = np.add.reduceat(np.where(own > 0, np.log10(own + 1.0), 0.0)[back_h], edge[:-1])
-            lw, lg = held.level(kinds_h)[back_h], held.level(kinds_g)[back_g]
+            lw, lg = level_of(own).astype(np.uint8)[back_h], held.level(kinds_g)[back_g]
             if levels is not None:
                 earlier = np.concatenate([np.frombuffer(levels[i].as_buffer(), np.uint8).reshape(2, -1) for i in range(lo, hi)], axis=1)
                 lw, lg = np.maximum(lw, earlier[0]), np.maximum(lg, earlier[1])

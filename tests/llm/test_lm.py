@@ -66,6 +66,17 @@ def test_pairs_help_where_order_repeats(spark):
     assert all(r.score > r.base_score for r in got)
 
 
+def test_words_are_not_in_the_filter(spark):
+    """Levels of words are those of their exact counts: only pairs take bits and probes."""
+    rows = [(i, " ".join(f"v{i * j % 89}" for j in range(200))) for i in range(30)]
+    own = [tokens(t) for _, t in rows]
+    pairs = Counter(p for t in own for p in zip(["start", *t], t, strict=False))
+    model = lm.learn(spark.createDataFrame(rows, "doc_id long, text string").select("text"))
+    assert model.table.selectExpr("sum(items)").head()[0] == lm.level_of(np.array(list(pairs.values()))).sum()
+    held = model.slice(0)
+    assert held.numbers.sum() == sum(map(len, own)) and (held.level(held.words) > 0).mean() < 0.1
+
+
 def test_levels_come_back_and_few_are_false():
     rng = np.random.default_rng(3)
     h = lm.mix(np.arange(1, 40_001).astype(np.uint64))
