@@ -10,6 +10,8 @@ applied by one join-free pass; ranks are counted within salted parts of a length
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -28,6 +30,9 @@ CACHE = 400_000
 RANKED = 200_000
 _LOWER = LOWER.tobytes()
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Small letters that no normal form changes, and signs that end words.
+LETTERS, SIGNS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", ".,;:!?"
+WORD = re.compile(f"([{LETTERS}]+)([{SIGNS}]*)").fullmatch
 PIECES = ArrayType(StructType([StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType())]))
 PLACE = StructType([StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
@@ -43,9 +48,28 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": b""}, {}
+        self.model, self.letters = self.tokenizer.model, self._letters()
+
+    def _letters(self) -> dict[int, str] | None:
+        """What the model reads for each of LETTERS, if it reads a run of them as one word and cuts it
+        from SIGNS behind it."""
+        split = lambda x: [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(x))]
+        if not self.tokenizer.normalizer or not self.tokenizer.pre_tokenizer:
+            return None
+        own = {ord(c): "".join(split(c)) for c in LETTERS}
+        whole = LETTERS.translate(own)
+        plain = split(LETTERS) == [whole] and all(split(LETTERS + x) == [whole, *split(x)] for x in SIGNS)
+        return own if plain else None
+
+    def word(self, letters: str) -> bytes:
+        """Ids of a run of LETTERS, of which the model itself tells the tokens: what comes before it,
+        for texts of any kind, takes longer than the model."""
+        ids = [t.id for t in self.model.tokenize(letters.translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words not known yet, as one sequence of separate words.  When ``CACHE`` words
+        """Encode the words not known yet, those of letters and signs behind them by the model, the others
+        as one sequence of separate words.  When ``CACHE`` words
         are held they become the older ones, of which those that recur are taken over."""
         fresh = words - self.known.keys()
         if len(self.known) + len(fresh) > CACHE:
@@ -57,6 +81,8 @@ class WordIds:
                 new.append(w)
             else:
                 self.known[w] = ids
+        if self.letters:
+            new = self._plain(new)
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -64,6 +90,25 @@ class WordIds:
             edges = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
             self.known.update((w, raw[a:b]) for w, a, b in zip(part, edges[:-1], edges[1:], strict=True))
 
+    def _plain(self, new: list[str]) -> list[str]:
+        """Learn the words of letters, or of letters and signs; the others are left."""
+        rest, ended = [], []
+        for w in new:
+            own = WORD(w)
+            if own is None:
+                rest.append(w)
+            elif own[2]:
+                ended.append((w, own[1], own[2]))
+            else:
+                self.known[w] = self.word(w)
+        tails = {}
+        for w, letters, signs in ended:
+            if signs not in tails:
+                tails[signs] = np.array(self.tokenizer.encode(signs, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.known.get(letters)
+            self.known[w] = (self.word(letters) if ids is None else ids) + tails[signs]
+        return rest
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.  The tokenizer lower-cases: A-Z may go
         before it, unless that would make a special string."""

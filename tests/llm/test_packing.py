@@ -64,3 +64,22 @@ def test_ranks_are_a_permutation_across_parts(spark, monkeypatch):
     for r in packing.ranked(rows, 100).collect():
         got.setdefault(r.length, []).append(r["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in got.values())
+
+
+def test_words_of_letters_go_to_the_model_alone():
+    own = packing.WordIds(packing.TOKENIZER)
+    tok, passed = own.tokenizer, []
+
+    class Watched:
+        def encode(self, x, **how):
+            passed.extend(x if isinstance(x, list) else [x])
+            return tok.encode(x, **how)
+
+    own.tokenizer = Watched()
+    rng = np.random.default_rng(4)
+    make = lambda letters, n: "".join(rng.choice(list(letters), n))
+    plain = [make("abcdeéßøÿ", int(n)) + make(".,;:!?", int(m)) for n, m in zip(rng.integers(1, 20, 500), rng.integers(0, 3, 500), strict=True)]
+    other = [make("abé'.,<|>3\u0301\u0130", int(n)) for n in rng.integers(1, 9, 500)] + ["it's,", "a.b", "a\u0301.", "b.\u0338", "\u0958,", "\u00b5", "\u00f7", "x,'s"]
+    text = " ".join([*plain, *other])
+    assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert not [w for w in passed if w.strip(packing.SIGNS) and packing.WORD(w)]
