@@ -36,3 +36,4 @@ def test_audits_added_up_as_they_are_read(spark):
 def test_texts_of_audits_do_not_travel(spark):
     # lines are dealt to suppliers as numbers and states, then counts of a whole audit travel
     assert len(exchanged(report_queries.audits(spark, SF))) == 1
+    assert len(exchanged(report_queries.audit_subjects(spark, SF))) == 1
