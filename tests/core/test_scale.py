@@ -4,7 +4,7 @@ import json
 import re
 
 from lodegraph.plans import report_queries
-from lodegraph.sources import audits
+from lodegraph.sources import audits, contracts
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,12 @@ def test_texts_of_audits_do_not_travel(spark):
     # lines are dealt to suppliers as numbers and states, then counts of a whole audit travel
     assert len(exchanged(report_queries.audits(spark, SF))) == 1
     assert len(exchanged(report_queries.audit_subjects(spark, SF))) == 1
+
+
+def test_schemas_are_looked_up_in_their_document(spark):
+    body = {"components": {"schemas": {"Order": {}, "OrderList": {}, "a/b": {}, "b": {}, "Gone": {}}}, "paths": {"/x": {"get": {"y": "#/s/OrderList"}, "put": {"y": "#/s/a/b"}, "post": {"y": "Order"}}}}
+    found = spark.createDataFrame([("p", "f", 0, "t", json.dumps(body))], "project string, path string, doc int, title string, body string")
+    got = {(r.method, r.schema) for r in contracts.schema_references(found).collect()}
+    assert got == {("GET", "Order"), ("GET", "OrderList"), ("PUT", "a/b"), ("PUT", "b")}
+    # lines and parts meet, lines go to suppliers; no pieces of texts travel
+    assert len(exchanged(report_queries.api_references(spark, SF))) <= 3
