@@ -39,6 +39,15 @@ def test_texts_of_audits_do_not_travel(spark):
     assert len(exchanged(report_queries.audit_subjects(spark, SF))) == 1
 
 
+def test_texts_of_coverage_do_not_travel(spark):
+    # the formats share one exchange of numbers
+    own = report_queries.coverage_reports(spark, SF)
+    own.collect()
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    assert sum("Exchange hashpartitioning(l_suppkey" in x and "ReusedExchange" not in x for x in final.splitlines()) == 1
+
+
 def test_schemas_are_looked_up_in_their_document(spark):
     body = {"components": {"schemas": {"Order": {}, "OrderList": {}, "a/b": {}, "b": {}, "Gone": {}}}, "paths": {"/x": {"get": {"y": "#/s/OrderList"}, "put": {"y": "#/s/a/b"}, "post": {"y": "Order"}}}}
     found = spark.createDataFrame([("p", "f", 0, "t", json.dumps(body))], "project string, path string, doc int, title string, body string")
