@@ -3,8 +3,9 @@
 Words and pairs of words are counted over all training texts.  A count is quantised to a
 level of ``EDGES`` (whole up to 10, then in steps of a tenth), and a pair of level q goes
 into a Bloom filter q times, once with each level from 1; its level is read back by probing
-levels upwards until one is missing.  The filter is broadcast to the workers, with the words'
-exact counts, from which their levels are taken.  A word's probability after another is
+levels upwards until one is missing.  Pairs of a level above ``FILTERED`` would take most of the
+probes and much of the filter: they stand beside it with their levels.  The filter is broadcast to
+the workers, with these and the words' exact counts, from which their levels are taken.  A word's probability after another is
 smoothed towards that of the word alone:
 
     P(w)     = (c(w) + 1) / (N + V + 1)
@@ -14,14 +15,14 @@ with the least count of a level above the line and the largest below it, so that
 probabilities of all words after v sum to at most 1 but for the filter's false positives.
 
 What a worker holds is bounded: a filter of at most ``FILTER_BITS`` bits and ``WORDS`` exact word
-counts.  A larger model is cut into slices by n-gram hash, and documents pass over one slice
+counts and levels.  A larger model is cut into slices by n-gram hash, and documents pass over one slice
 after another with the levels found so far beside them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ FILTER_BITS = 1 << 30
 WORDS = 1 << 23
 ITEM_BITS = 10
 PROBES = 6
+#: Levels that the filter holds; pairs of higher ones are few unless texts are many.
+FILTERED = 8
 #: By the likelihood of held-out texts, which is flat from here to twice this.
 MU = 512.0
 HELD = 500_000
@@ -91,8 +94,9 @@ def buckets_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, w, wn, g, gn, tokens, words, items): the words and pairs of one bucket of hashes in
-    order and their counts, with their totals; summed per block before they travel."""
+    """(bucket, w, wn, g, gn, tokens, words, items, near, exact): the words and pairs of one bucket of hashes in
+    order and their counts, with their totals (items: the sum of levels; near: of those in the filter; exact: of what stands
+    beside it); summed per block before they travel."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -124,17 +128,18 @@ def counts(docs: DataFrame, buckets: int) -> DataFrame:
     def reduced(rows: pa.Table) -> pa.Table:
         w, wn = merged(packed(rows["w"].combine_chunks(), "<u8"), [x.astype(np.int64) for x in packed(rows["wn"].combine_chunks(), "<u4")])
         g, gn = merged(packed(rows["g"].combine_chunks(), "<u8"), [x.astype(np.int64) for x in packed(rows["gn"].combine_chunks(), "<u4")])
-        items = int(level_of(gn).sum())
+        levels = level_of(gn)
+        near = levels <= FILTERED
         return pa.table({
             "bucket": rows["bucket"][:1], "w": [w.tobytes()], "wn": [wn.astype("<i8").tobytes()], "g": [g.tobytes()], "gn": [gn.astype("<i8").tobytes()],
-            "tokens": pa.array([int(wn.sum())]), "words": pa.array([len(w)]), "items": pa.array([items]),
+            "tokens": pa.array([int(wn.sum())]), "words": pa.array([len(w)]), "items": pa.array([int(levels.sum())]), "near": pa.array([int(levels[near].sum())]), "exact": pa.array([len(w) + int(np.count_nonzero(~near))]),
         })
 
     return (
         docs.select("text")
         .mapInArrow(gather, "bucket int, w binary, wn binary, g binary, gn binary")
         .groupBy("bucket")
-        .applyInArrow(reduced, "bucket int, w binary, wn binary, g binary, gn binary, tokens long, words long, items long")
+        .applyInArrow(reduced, "bucket int, w binary, wn binary, g binary, gn binary, tokens long, words long, items long, near long, exact long")
     )
 
 
@@ -166,7 +171,8 @@ def segment(h: np.ndarray, level: np.ndarray, size: int) -> bytes:
 
 @dataclass
 class Slice:
-    """Segments of buckets first .. first + len - 1 for pairs, and the words of these buckets with their counts."""
+    """Segments of buckets first .. first + len - 1 for pairs, the words of these buckets with their counts and their
+    pairs above FILTERED with their levels."""
 
     first: int
     buckets: int  # in all
@@ -174,14 +180,22 @@ class Slice:
     bits: np.ndarray
     words: np.ndarray
     numbers: np.ndarray
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
+    levels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))
+    top: int = len(EDGES) - 1  # the highest level in the filter
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """Levels of pairs; 0 for those not in this slice."""
         out = np.zeros(len(h), np.uint8)
         at = (buckets_of(h, self.buckets) - self.first) * self.size
-        live = np.flatnonzero((at >= 0) & (at < len(self.bits) * 8))
+        inside = (at >= 0) & (at < len(self.bits) * 8)  # a pair of another slice is in no table of this one
+        if len(self.pairs):
+            place, far = found(h, self.pairs)
+            out[far] = self.levels[place[far]]
+            inside &= ~far
+        live = np.flatnonzero(inside)
         h, base, q = h[live], at[live], 1
-        while len(live) and q < len(EDGES):
+        while len(live) and q <= self.top:
             x = hashed(h, q)
             at, step, left = x & U(0xFFFFFFFF), (x >> U(32)) | U(1), np.arange(len(live))
             for _ in range(PROBES):  # only those still there are probed again
@@ -211,7 +225,7 @@ class Model:
     size: int
 
     def slice(self, k: int) -> Slice:
-        """The k-th slice, gathered on the driver: FILTER_BITS bits and WORDS counts at most."""
+        """The k-th slice, gathered on the driver: FILTER_BITS bits and WORDS counts and levels at most."""
         each = self.buckets // self.slices
         size = self.size
 
@@ -219,29 +233,34 @@ class Model:
             for batch in batches:
                 for r in range(batch.num_rows):
                     g, gn = (np.frombuffer(batch.column(c)[r].as_py(), t) for c, t in (("g", "<u8"), ("gn", "<i8")))
-                    bits = segment(g, level_of(gn), size)
-                    yield pa.RecordBatch.from_arrays([batch.column("bucket")[r : r + 1], pa.array([bits], pa.binary()), batch.column("w")[r : r + 1], batch.column("wn")[r : r + 1]], names=["bucket", "bits", "w", "wn"])
+                    levels = level_of(gn)
+                    near = levels <= FILTERED
+                    cells = [segment(g[near], levels[near], size), g[~near].tobytes(), levels[~near].astype(np.uint8).tobytes()]
+                    yield pa.RecordBatch.from_arrays([batch.column("bucket")[r : r + 1], *(pa.array([c], pa.binary()) for c in cells), batch.column("w")[r : r + 1], batch.column("wn")[r : r + 1]], names=["bucket", "bits", "g", "q", "w", "wn"])
 
         own = self.table.where((F.col("bucket") >= k * each) & (F.col("bucket") < (k + 1) * each)).select("bucket", "w", "wn", "g", "gn")
         bits = np.zeros((each, size // 8), np.uint8)
         words: dict[int, np.ndarray] = {}
         numbers: dict[int, np.ndarray] = {}
+        pairs: dict[int, np.ndarray] = {}
+        levels: dict[int, np.ndarray] = {}
         # partition by partition, so that the JVM never holds the whole slice
-        for row in own.mapInArrow(build, "bucket int, bits binary, w binary, wn binary").toLocalIterator(True):
+        for row in own.mapInArrow(build, "bucket int, bits binary, g binary, q binary, w binary, wn binary").toLocalIterator(True):
             b = row["bucket"] - k * each
             bits[b] = np.frombuffer(row["bits"], np.uint8)
+            pairs[b], levels[b] = np.frombuffer(row["g"], "<u8"), np.frombuffer(row["q"], np.uint8)
             n = np.frombuffer(row["wn"], "<i8")
             words[b], numbers[b] = np.frombuffer(row["w"], "<u8"), n.astype("<u4") if n.max(initial=0) < 2**32 else n
-        words[each], numbers[each] = np.zeros(0, U), np.zeros(0, "<u4")
+        words[each], numbers[each], pairs[each], levels[each] = np.zeros(0, U), np.zeros(0, "<u4"), np.zeros(0, U), np.zeros(0, np.uint8)
         order = sorted(words)
-        return Slice(k * each, self.buckets, size, bits.ravel(), np.concatenate([words[b] for b in order]), np.concatenate([numbers[b] for b in order]))
+        return Slice(k * each, self.buckets, size, bits.ravel(), *(np.concatenate([held[b] for b in order]) for held in (words, numbers, pairs, levels)), FILTERED)
 
 
 def learn(docs: DataFrame, filter_bits: int = FILTER_BITS, words: int = WORDS) -> Model:
     """Counts of all rows of ``docs(text)``; null is the empty text."""
     buckets = 1 << min(16, max(8, (8 * docs.rdd.getNumPartitions() - 1).bit_length()))  # a bucket is merged in one go
     table = durable(counts(docs, buckets))
-    total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("items"), F.lit(0)), F.coalesce(F.max("items"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).head()
+    total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("items"), F.lit(0)), F.coalesce(F.max("near"), F.lit(0)), F.coalesce(F.max("exact"), F.lit(0))).head()
     size = max(64, -(-int(total[3]) * ITEM_BITS // 64) * 64)  # segments are alike: hashes deal them evenly
     slices = 1
     while slices < buckets and (buckets // slices * size > filter_bits or buckets // slices * int(total[4]) > words):
