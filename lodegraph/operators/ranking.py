@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import locale
-from ..functions.text import STOP_WORDS, tokens
+from ..functions.text import STOP_WORDS
+from .lineage import stored
 
 #: Weights of a score.
 EXACT, PREFIX, HAYSTACK, SAME_LABEL, LABEL, IDENTITY, ALIAS, ANY, ALL_TERMS, LANGUAGE = 10_000, 250, 100, 80, 36, 24, 20, 10, 120, 400
@@ -99,8 +100,15 @@ def least_matches(terms: list[str], asked: int | None = None) -> int:
     return usual if asked is None else min(usual, max(1, asked))
 
 
-def _has(held: Column, term: Column) -> Column:
-    return F.exists(held, lambda t: F.when(F.length(term) >= 3, t.startswith(term)).otherwise(t == term))
+def _spaced(x: Column) -> Column:
+    """The ``tokens`` of a text as one text, a blank before and behind each."""
+    marks = lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")
+    return F.concat(F.lit(" "), marks(x), F.lit(" "), marks(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1 $2")), F.lit(" "))
+
+
+def _has(held: Column, term: str) -> Column:
+    """Whether one of the spaced tokens is the term, or starts with one of three letters or more: a plain search."""
+    return F.contains(held, F.lit(f" {term}" if len(term) >= 3 else f" {term} "))
 
 
 def hits(entities: DataFrame, terms: list[str]) -> DataFrame:
@@ -111,11 +119,12 @@ def hits(entities: DataFrame, terms: list[str]) -> DataFrame:
     language = F.col("language") if "language" in entities.columns else F.lit(None).cast("string")
     own = entities.select(
         "id", "kind", "label", language.alias("language"), intent(entities, terms).alias("intent"), norm(F.col("label")).alias("l"), norm(F.col("key")).alias("i"), F.transform("aliases", norm).alias("a"), hay.alias("h"),
-        tokens(F.col("label")).alias("lt"), tokens(F.col("key")).alias("it"), tokens(F.array_join("aliases", " ")).alias("at"),
+        _spaced(F.col("label")).alias("lt"), _spaced(F.col("key")).alias("it"), _spaced(F.array_join("aliases", " ")).alias("at"),
     )
-    own = own.withColumn("ht", tokens(F.col("h")))
-    every = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    each = F.transform(every, lambda t: F.struct(t.alias("term"), (F.col("l") == t).alias("same"), *(_has(F.col(c), t).alias(c) for c in ("lt", "it", "at", "ht"))))
+    own = own.withColumn("ht", _spaced(F.col("h")))
+    each = F.array(*(F.struct(F.lit(t).alias("term"), (F.col("l") == t).alias("same"), *(_has(F.col(c), t).alias(c) for c in ("lt", "it", "at", "ht"))) for t in terms))
+    if not terms:
+        each = each.cast("array<struct<term:string,same:boolean,lt:boolean,it:boolean,at:boolean,ht:boolean>>")
     return own.select("id", "kind", "label", "language", "intent", "l", "i", "a", "h", F.filter(each, lambda x: x["lt"] | x["it"] | x["at"] | x["ht"]).alias("hits"))
 
 
@@ -125,9 +134,9 @@ def matches(entities: DataFrame, question: str, languages: list[str] | None = No
     all entities of a kind that an overview has."""
     query, terms = question.strip().lower(), question_terms(question, scope)
     own = hits(entities, terms)
-    found = own.select(F.explode("hits.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    weights = found.join(F.broadcast(own.agg(F.count("*").alias("n")))).agg(F.map_from_entries(F.collect_list(F.struct("term", weight.alias("w")))).alias("weights"))
+    weight = lambda t: F.log((F.count("*") + 1) / (F.count_if(F.array_contains("hits.term", t)) + 1)) + 1
+    each = [F.array(*map(F.lit, terms)).cast("array<string>"), F.array(*map(weight, terms)).cast("array<double>")]
+    weights = own.agg(F.map_from_arrays(*each).alias("weights"))
     both = own.join(F.broadcast(weights))  # one row, an entry for each term
     one = lambda c, x: F.when(c, float(x)).otherwise(0.0)
 
@@ -220,7 +229,7 @@ def expanded(relations: DataFrame, few: DataFrame, each: int = 4, total: int = 2
 def budgeted(found: DataFrame, relations: DataFrame, entities: DataFrame, few: DataFrame, each: int = 4) -> DataFrame:
     """One row: how many entities match and whether any are left out, and what the budget of an answer keeps and omits of
     the relations of ``few``, of the entities at their other ends and of aliases."""
-    ends = expanded(relations, few, each, each * 100)
+    ends = stored(expanded(relations, few, each, each * 100))
     kept = ends.orderBy("id").limit(BUDGET["relations"])
     chosen = few.select("id")
     other = kept.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(F.broadcast(chosen), "id", "left_anti").join(entities.select("id"), "id", "left_semi")

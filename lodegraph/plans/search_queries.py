@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import ranking
-from ..operators.lineage import settle
+from ..operators.lineage import stored
 from .tables import ENTITIES, table
 
 QUESTION = "Which nation 1 does the part of red steel go to?"
@@ -157,7 +157,8 @@ def broad_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What that question's first hundred entities bring along, within and beyond the budget of an answer."""
     own = catalogue(spark, sf_dir)
-    return ranking.budgeted(ranking.matches(own, BROAD), page_links(spark, sf_dir), own, settle(ranking.ranked(own, BROAD, 100)))
+    found = stored(ranking.matches(own, BROAD))
+    return ranking.budgeted(found, page_links(spark, sf_dir), own, stored(ranking.placed(found, 100)))
 
 
 def project_overview(spark: SparkSession, sf_dir: str) -> DataFrame:

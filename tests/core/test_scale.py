@@ -3,7 +3,9 @@
 import json
 import re
 
-from lodegraph.plans import report_queries
+from lodegraph.functions.text import tokens
+from lodegraph.operators import ranking
+from lodegraph.plans import report_queries, search_queries
 from lodegraph.sources import audits, contracts
 from pyspark.sql import functions as F
 
@@ -55,3 +57,20 @@ def test_schemas_are_looked_up_in_their_document(spark):
     assert got == {("GET", "Order"), ("GET", "OrderList"), ("PUT", "a/b"), ("PUT", "b")}
     # lines and parts meet, lines go to suppliers; no pieces of texts travel
     assert len(exchanged(report_queries.api_references(spark, SF))) <= 3
+
+
+def test_spaced_tokens_have_what_tokens_have(spark):
+    texts = ["redSteel ring", "RED-steelRing", "a b aa", "x1Y2z", "r\u00e9d stee1", "", "  ", None, "fooBarBAZ9q", "aB"]
+    terms = ["red", "steel", "ring", "bar", "aa", "re", "bb", "y2z", "y2", "baz", "ab", "fo"]
+    own = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    plain = lambda t: F.exists(tokens(F.col("x")), lambda w: w.startswith(t) if len(t) >= 3 else w == t)
+    got = own.select("k", *(ranking._has(ranking._spaced(F.col("x")), t) for t in terms), *map(plain, terms)).collect()
+    assert all(tuple(r)[1 : 1 + len(terms)] == tuple(r)[1 + len(terms) :] for r in got)
+    assert sum(v is True for r in got for v in tuple(r)[1 : 1 + len(terms)]) > 10
+
+
+def test_matches_are_found_once(spark):
+    # neither the catalogue nor the scores are in the plan of what is done with the matches
+    few = search_queries.answer_budget(spark, SF)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "file_count" not in plan and few.collect()[0].total_matches > 0
