@@ -151,7 +151,7 @@ def owner_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def broad_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer to the broad question: two of each kind and of unlike labels lead, chosen from all matches."""
-    return ranking.answered(ranking.matches(catalogue(spark, sf_dir), BROAD), 24).select("pick", "id", "kind", "label", "score")
+    return ranking.answered(stored(ranking.matches(catalogue(spark, sf_dir), BROAD)), 24).select("pick", "id", "kind", "label", "score")
 
 
 def answer_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

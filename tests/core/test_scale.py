@@ -74,3 +74,8 @@ def test_matches_are_found_once(spark):
     few = search_queries.answer_budget(spark, SF)
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "file_count" not in plan and few.collect()[0].total_matches > 0
+
+
+def test_a_broad_answer_reads_its_matches_once(spark):
+    own = search_queries.broad_answer(spark, SF)
+    assert "documents.parquet" not in own._jdf.queryExecution().executedPlan().toString() and own.count() == 24
