@@ -7,21 +7,28 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import settle
+from .lineage import stored
 
 
-def _steps(relations: DataFrame) -> DataFrame:
-    """(node, other, relation, direction): for every ordered pair of neighbours the relation of least id."""
-    ahead = relations.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.struct(F.col("id").alias("relation"), F.lit("forward").alias("direction")).alias("r"))
-    back = relations.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.struct(F.col("id").alias("relation"), F.lit("reverse").alias("direction")).alias("r"))
-    least = ahead.union(back).where("node is not null and other is not null and node <> other").groupBy("node", "other").agg(F.min("r").alias("r"))
-    return least.select("node", "other", "r.relation", "r.direction")
+#: Rows (a query and a node each) that are broadcast to the relations; more are shuffled with them.
+FEW = 1_000_000
 
 
-def _outward(side: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
+def _steps(rows: DataFrame, relations: DataFrame) -> DataFrame:
+    """(query, node, other, relation, direction): the relations at the nodes of ``rows(query, node)``, whichever way they
+    point.  Rows are few beside relations: those come to where the relations are read, which are neither turned round nor kept twice."""
+    rows = stored(rows.select("query", "node"))
+    near = F.broadcast(rows) if rows.count() <= FEW else rows
+    sound = relations.where("src is not null and dst is not null and src <> dst")
+    ways = [("src", "dst", "forward"), ("dst", "src", "reverse")]
+    out = [sound.join(near, F.col("node") == F.col(a)).select("query", "node", F.col(b).alias("other"), F.col("id").alias("relation"), F.lit(d).alias("direction")) for a, b, d in ways]
+    return out[0].unionByName(out[1])
+
+
+def _outward(side: DataFrame, relations: DataFrame, depth: int) -> DataFrame:
     """``side(query, node, depth)`` with the nodes one further out."""
-    edge = side.where(F.col("depth") == depth - 1).join(steps, "node").select("query", F.col("other").alias("node")).distinct()
-    return side.unionByName(settle(edge.join(side, ["query", "node"], "left_anti").select("query", "node", F.lit(depth).alias("depth"))))
+    edge = _steps(side.where(F.col("depth") == depth - 1), relations).select("query", F.col("other").alias("node")).distinct()
+    return side.unionByName(stored(edge.join(side, ["query", "node"], "left_anti").select("query", "node", F.lit(depth).alias("depth"))))
 
 
 def connections(pairs: DataFrame, relations: DataFrame, most: int = 64) -> DataFrame:
@@ -33,53 +40,55 @@ def connections(pairs: DataFrame, relations: DataFrame, most: int = 64) -> DataF
     chain of n hops needs no more than what lies n / 2 around its ends.  Nodes are held with their
     distances only; the chain is read off afterwards, hop by hop.  No rows come from a pair without a
     chain, or with one of over ``most`` hops, or with a = b.
+
+    Relations are read anew at every step, only as far as a step needs them, and may be repeated.
     """
-    steps = settle(_steps(relations))
-    asked = settle(pairs.select("query", "a", "b").where("a is not null and b is not null").distinct())
-    out_a = settle(asked.select("query", F.col("a").alias("node"), F.lit(0).alias("depth")))
-    out_b = settle(asked.select("query", F.col("b").alias("node"), F.lit(0).alias("depth")))
+    asked = stored(pairs.select("query", "a", "b").where("a is not null and b is not null").distinct())
+    out_a = stored(asked.select("query", F.col("a").alias("node"), F.lit(0).alias("depth")))
+    out_b = stored(asked.select("query", F.col("b").alias("node"), F.lit(0).alias("depth")))
     i = j = 0
     lengths: list[DataFrame] = []  # (query, i, j) of pairs that have met
     left_a, left_b = out_a, out_b
     kept_a: list[DataFrame] = []
     kept_b: list[DataFrame] = []
     while True:
-        met = settle(left_a.join(left_b.select("query", "node"), ["query", "node"], "left_semi").select("query").distinct())
+        met = stored(left_a.join(left_b.select("query", "node"), ["query", "node"], "left_semi").select("query").distinct())
         lengths.append(met.select("query", F.lit(i).alias("i"), F.lit(j).alias("j")))
         kept_a.append(left_a.join(met, "query", "left_semi"))
         kept_b.append(left_b.join(met, "query", "left_semi"))
         left_a, left_b = left_a.join(met, "query", "left_anti"), left_b.join(met, "query", "left_anti")
         # a pair of which one end has nothing further out has no chain
         edges = [x.where(F.col("depth") == d).groupBy("query").count() for x, d in ((left_a, i), (left_b, j))]
-        alive = settle(edges[0].join(edges[1].withColumnRenamed("count", "other"), "query"))
+        alive = stored(edges[0].join(edges[1].withColumnRenamed("count", "other"), "query"))
         sums = alive.agg(F.sum("count"), F.sum("other")).head()
         if sums is None or sums[0] is None or i + j >= most:
             break
-        left_a, left_b = settle(left_a.join(alive, "query", "left_semi")), settle(left_b.join(alive, "query", "left_semi"))
+        left_a, left_b = stored(left_a.join(alive, "query", "left_semi")), stored(left_b.join(alive, "query", "left_semi"))
         if sums[0] <= sums[1]:
             i += 1
-            left_a = _outward(left_a, steps, i)
+            left_a = _outward(left_a, relations, i)
         else:
             j += 1
-            left_b = _outward(left_b, steps, j)
-    length = settle(reduce(DataFrame.unionByName, lengths))
-    whole_a, whole_b = settle(reduce(DataFrame.unionByName, kept_a)), settle(reduce(DataFrame.unionByName, kept_b))
+            left_b = _outward(left_b, relations, j)
+    length = stored(reduce(DataFrame.unionByName, lengths))
+    whole_a, whole_b = stored(reduce(DataFrame.unionByName, kept_a)), stored(reduce(DataFrame.unionByName, kept_b))
     # nodes by their place in a shortest chain: those of b's side have one, those of a's side if they lead to it
     late = whole_b.join(length, "query").select("query", "node", (F.col("i") + F.col("j") - F.col("depth")).alias("hop"))
     ahead = whole_a.join(length, "query").where("depth = i").join(whole_b.select("query", "node"), ["query", "node"], "left_semi").select("query", "node", F.col("depth").alias("hop"))
-    marked = [settle(ahead)]
+    marked = [stored(ahead)]
     for hop in range(i - 1, -1, -1):
-        nearer = reduce(DataFrame.unionByName, marked).where(F.col("hop") == hop + 1).join(steps, "node").select("query", F.col("other").alias("node")).distinct()
-        marked.append(settle(nearer.join(whole_a.where(F.col("depth") == hop), ["query", "node"]).select("query", "node", F.lit(hop).alias("hop"))))
-    places = settle(reduce(DataFrame.unionByName, [*marked, late]).distinct())
+        nearer = reduce(DataFrame.unionByName, marked).where(F.col("hop") == hop + 1)
+        nearer = _steps(nearer, relations).select("query", F.col("other").alias("node")).distinct()
+        marked.append(stored(nearer.join(whole_a.where(F.col("depth") == hop), ["query", "node"]).select("query", "node", F.lit(hop).alias("hop"))))
+    places = stored(reduce(DataFrame.unionByName, [*marked, late]).distinct())
     at = asked.join(length, "query").where("i + j > 0").select("query", F.col("a").alias("node"))
     hops: list[DataFrame] = []
     for hop in range(1, i + j + 1):
         target = places.where(F.col("hop") == hop).select("query", F.col("node").alias("other"))
-        ways = at.join(steps, "node").join(target, ["query", "other"])
-        best = settle(ways.groupBy("query", "node").agg(F.min(F.struct("other", "relation", "direction")).alias("r")))
+        ways = _steps(at, relations).join(target, ["query", "other"])
+        best = stored(ways.groupBy("query", "node").agg(F.min(F.struct("other", "relation", "direction")).alias("r")))
         hops.append(best.select("query", F.lit(hop).alias("hop"), F.col("node").alias("source"), F.col("r.other").alias("target"), "r.relation", "r.direction"))
         at = best.join(length, "query").where(F.col("i") + F.col("j") > hop).select("query", F.col("r.other").alias("node"))
     if not hops:
-        return at.join(steps, "node").select("query", F.lit(0).alias("hop"), F.col("node").alias("source"), F.col("other").alias("target"), "relation", "direction").limit(0)
+        return _steps(at, relations).select("query", F.lit(0).alias("hop"), F.col("node").alias("source"), F.col("other").alias("target"), "relation", "direction").limit(0)
     return reduce(DataFrame.unionByName, hops)

@@ -4,7 +4,7 @@ import json
 import re
 
 from lodegraph.functions.text import tokens
-from lodegraph.operators import ranking
+from lodegraph.operators import connection, ranking
 from lodegraph.plans import report_queries, search_queries
 from lodegraph.sources import audits, contracts
 from pyspark.sql import functions as F
@@ -79,3 +79,15 @@ def test_matches_are_found_once(spark):
 def test_a_broad_answer_reads_its_matches_once(spark):
     own = search_queries.broad_answer(spark, SF)
     assert "documents.parquet" not in own._jdf.queryExecution().executedPlan().toString() and own.count() == 24
+
+
+def test_relations_are_not_turned_round_or_shuffled(spark):
+    relations = spark.createDataFrame([("r1", 1, 2), ("r0", 2, 1), ("r1", 1, 2), ("r2", 2, 3), ("r3", 3, 3), ("r4", None, 1)], "id string, src long, dst long")
+    rows = spark.createDataFrame([(7, 2), (8, 3)], "query long, node long")
+    own = connection._steps(rows, relations)
+    assert not exchanged(own)
+    assert {tuple(r) for r in own.collect()} == {(7, 2, 1, "r0", "forward"), (7, 2, 1, "r1", "reverse"), (7, 2, 3, "r2", "forward"), (8, 3, 2, "r2", "reverse")}
+    # relations that are told twice are one
+    pairs = spark.createDataFrame([(7, 1, 3)], "query long, a long, b long")
+    got = sorted(tuple(r) for r in connection.connections(pairs, relations).collect())
+    assert got == [(7, 1, 1, 2, "r0", "reverse"), (7, 2, 2, 3, "r2", "forward")]
